@@ -51,5 +51,7 @@ def body(message: Column) -> Column:
     return F.try_element_at(F.split(message, "\n\n", 2), F.lit(2))
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.format_string("%.2f%%", part / whole * 100.0)
+def percent(ratio: Column) -> Column:
+    """Two decimals of a ratio in single precision, ties to even."""
+    value = (ratio.cast("float") * F.lit(100.0).cast("float")).cast("double")
+    return F.format_string("%.2f%%", F.bround(value, 2))

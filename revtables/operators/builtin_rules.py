@@ -256,7 +256,7 @@ def _go() -> RuleList:
                 "const",
                 "match",
                 rf"\bconst\s*\((?:[^()]|\([^()]*\))*\)|\bconst\s+{NAME}[^\n]*",
-                each=rf"(?m)^\s*(?:const\b\s*\(?\s*)?({NAME})[^\n]*$",
+                each=rf"(?md)^\s*(?:const\b\s*\(?\s*)?({NAME})[^\n]*$",
             ),
             Rule("interface", "block", rf"\btype\s+({NAME})\s+interface\s*"),
             Rule(

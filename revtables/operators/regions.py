@@ -35,8 +35,8 @@ def _masked(text: Column, rule_list: RuleList) -> Column:
     """Blank out the pieces matched by ``mask``, keeping length and newlines."""
     if rule_list.mask is None:
         return text
-    rest = F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({rule_list.mask}|\\z)"), F.lit(1))
-    hits = F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({rule_list.mask}|\\z)"), F.lit(2))
+    rest = F.regexp_extract_all(text, F.lit(f"(?sd)(.*?)({rule_list.mask}|\\z)"), F.lit(1))
+    hits = F.regexp_extract_all(text, F.lit(f"(?sd)(.*?)({rule_list.mask}|\\z)"), F.lit(2))
     return F.array_join(
         F.zip_with(rest, hits, lambda plain, hit: F.concat(plain, F.regexp_replace(hit, r"[^\n]", " "))), ""
     )
@@ -65,7 +65,7 @@ def _token_regex(rule_list: RuleList) -> str:
     parts += [p for p in (rule_list.opener, rule_list.closer, rule_list.end, rule_list.boundary, rule_list.extra) if p]
     # Rules may share a header; each alternative is tried once.
     unique = list(dict.fromkeys(_ungrouped(p) for p in parts))
-    return "(?s)(.*?)(" + "|".join(unique) + "|\\z)"
+    return "(?sd)(.*?)(" + "|".join(unique) + "|\\z)"
 
 
 def tokens(files: DataFrame, lists: list[RuleList]) -> DataFrame:
@@ -120,7 +120,7 @@ def located_tokens(files: DataFrame, lists: list[RuleList]) -> DataFrame:
     )
 
     def is_token(regex: str | None) -> Column:
-        return token.rlike(f"(?s)^(?:{_ungrouped(regex)})$") if regex else F.lit(False)
+        return token.rlike(f"(?sd)^(?:{_ungrouped(regex)})\\z") if regex else F.lit(False)
 
     def opens(rule_list: RuleList) -> Column:
         headers = [rule.header for rule in rule_list.rules if rule.family == "nested"]
@@ -158,8 +158,8 @@ def _filters_pass(token: Column, rule: Rule) -> Column:
 def _candidates(number: int, rule: Rule) -> Column:
     """What a token says if it is a header of the rule: an array of matches, or NULL."""
     token = F.col("token")
-    whole = f"(?s)^(?:{rule.header})$"
-    lead = F.regexp_extract(token, f"(?s)^({_ungrouped(rule.lead)})", 1) if rule.lead else F.lit("")
+    whole = f"(?sd)^(?:{rule.header})\\z"
+    lead = F.regexp_extract(token, f"(?sd)^({_ungrouped(rule.lead)})", 1) if rule.lead else F.lit("")
 
     def match(names: Column) -> Column:
         return F.struct(
@@ -203,13 +203,13 @@ def rule_matches(files: DataFrame, lists: list[RuleList]) -> DataFrame:
         .withColumn("next_here", F.when(following("gap") == "", following("here")))
         .withColumn("next_gap", following("gap"))
         .withColumn("next_opens", (following("delta") == 1) & (following("gap") == ""))
-        .withColumn("next_ends", _per_list(lists, lambda r: following("token").rlike(f"^(?:{r.end})$") if r.end else F.lit(False)))
+        .withColumn("next_ends", _per_list(lists, lambda r: following("token").rlike(f"(?sd)^(?:{r.end})\\z") if r.end else F.lit(False)))
     )
     if "section" in families:
         def starts_section(rule_list: RuleList) -> Column:
             headers = [rule.header for rule in rule_list.rules if rule.family in ("section", "block")]
             parts = [p for p in [rule_list.boundary, *headers] if p]
-            return F.col("token").rlike(f"(?s)^(?:{'|'.join(parts)})$") if parts else F.lit(False)
+            return F.col("token").rlike(f"(?sd)^(?:{'|'.join(parts)})\\z") if parts else F.lit(False)
 
         starts = _per_list(lists, starts_section).cast("int")
         section = Window.partitionBy(*FILE, "_section")

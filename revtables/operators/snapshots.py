@@ -52,17 +52,21 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def file_changes(commits: DataFrame, trees: DataFrame) -> DataFrame:
+def file_changes(commits: DataFrame, trees: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(commit_id, path, change, before_oid, after_oid) of every commit against its first parent.
 
+    ``only`` (commit_id) restricts the result before any tree is read; parents are
+    still looked up in all of ``commits``.
+
     The parent's tree is re-keyed by child id and joined on (commit, path), so even
     one giant tree is spread by path. Renames are a deletion plus an addition; the
     mode test of a modification looks at the new side only.
     """
-    after = trees.join(commits.select("commit_id"), "commit_id", "left_semi").select(
+    wanted = commits.select("commit_id") if only is None else only.select("commit_id")
+    after = trees.join(wanted, "commit_id", "left_semi").select(
         "commit_id", "path", F.col("mode").alias("after_mode"), F.col("oid").alias("after_oid")
     )
-    children = first_parents(commits).where("parent_id is not null")
+    children = first_parents(commits).where("parent_id is not null").join(wanted, "commit_id", "left_semi")
     before = trees.select(
         F.col("commit_id").alias("parent_id"), "path", F.col("mode").alias("before_mode"), F.col("oid").alias("before_oid")
     ).join(children, "parent_id").drop("parent_id")
