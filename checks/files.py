@@ -564,13 +564,13 @@ SELECT commit_id, true FROM revisions WHERE previous IS NOT NULL""",
         """after_lines AS (
   SELECT doc_id, row, strlen(line) + 1 AS n, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY row
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sides WHERE side = 'rhs'),
-ends AS (SELECT doc_id, strlen(ac) AS size FROM pairs)""",
-        body="""SELECT doc_id, CAST(coalesce(min(start), any_value(size)) AS BIGINT) AS new_start_byte,
-CAST(coalesce(min(start), any_value(size)) AS BIGINT) AS shifted_start_byte,
-CAST(coalesce(least(max(start + n) FILTER (row < after_start + r), any_value(size)) - min(start), 0) * CASE WHEN r > 0 THEN 1 ELSE 0 END AS BIGINT) AS bytes
-FROM hunks JOIN ends USING (doc_id) LEFT JOIN after_lines USING (doc_id)
-WHERE row IS NULL OR row >= after_start OR row = (SELECT max(x.row) FROM after_lines x WHERE x.doc_id = hunks.doc_id)
-GROUP BY doc_id, hunk, after_start, r""",
+placed_hunks AS (
+  SELECT h.doc_id, h.after_start, h.r, strlen(ac) AS size, coalesce(f.start, strlen(ac)) AS start,
+         coalesce(t.start, strlen(ac)) AS stop
+  FROM hunks h JOIN pairs USING (doc_id) LEFT JOIN after_lines f ON f.doc_id = h.doc_id AND f.row = h.after_start
+  LEFT JOIN after_lines t ON t.doc_id = h.doc_id AND t.row = h.after_start + h.r)""",
+        body="""SELECT doc_id, CAST(start AS BIGINT) AS new_start_byte, CAST(start AS BIGINT) AS shifted_start_byte,
+CAST(stop - start AS BIGINT) AS bytes FROM placed_hunks""",
     ),
     "diff_symbols": with_(BEFORE, AFTER, diff("", "before", "after"), body="SELECT * FROM diff"),
     "diff_symbols_json": with_(BEFORE, AFTER, diff("", "before", "after"), body=f"SELECT {JSON} AS json FROM diff"),

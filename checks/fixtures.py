@@ -12,7 +12,7 @@ from revtables.functions.paths import REGULAR_FILE_MODE
 from revtables.functions.text import split_lines
 from revtables.operators.positions import with_previous
 from revtables.operators.rules import Rule, RuleList
-from revtables.session import checkpoint_dir
+from revtables.session import checkpoint_dir, cut_lineage
 
 # Languages of the documents; a document's path ends in its language.
 LANGUAGES = ("en", "fr", "de", "es")
@@ -147,12 +147,12 @@ def snapshot(spark: SparkSession, sf_dir: str, version: tuple[str, str]) -> Data
 
 
 def document_blobs(spark: SparkSession, sf_dir: str, *versions: tuple[str, str]) -> DataFrame:
-    """Contents of all given versions, one row per id."""
+    """Contents of all given versions, one row per id, written out as a table would be."""
     all_ = None
     for version in versions:
         one = document_versions(spark, sf_dir, *version).select("oid", "content")
         all_ = one if all_ is None else all_.unionByName(one)
-    return all_.groupBy("oid").agg(F.min("content").alias("content"))
+    return cut_lineage(all_.groupBy("oid").agg(F.min("content").alias("content")))
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

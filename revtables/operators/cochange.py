@@ -144,11 +144,16 @@ def _with_wide(paired: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
     )
     own = members.select("id", "class")
     other = members.select(F.col("id").alias("other_id"), F.col("class").alias("other_class"))
-    from_narrow = (
-        paired.join(own, "id", "left")
-        .join(other, "other_id", "left")
-        .join(shared, ["class", "other_class"], "left")
-        .select("id", "other_id", (F.col("together") + F.coalesce("shared", F.lit(0))).alias("together"))
+    from_both = (
+        paired.join(own, "id")
+        .join(other, "other_id")
+        .join(shared, ["class", "other_class"])
+        .select("id", "other_id", (F.col("together") + F.col("shared")).alias("together"))
+    )
+    # A pair that is in more than one of the three has its whole count in from_both.
+    return (
+        paired.unionByName(from_both)
+        .unionByName(from_wide)
+        .groupBy("id", "other_id")
+        .agg(F.max("together").alias("together"))
     )
-    # A pair in both has its whole count in from_narrow, which is the larger one.
-    return from_narrow.unionByName(from_wide).groupBy("id", "other_id").agg(F.max("together").alias("together"))

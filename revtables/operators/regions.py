@@ -17,6 +17,7 @@ from revtables.functions.ranges import byte_size, checksum, contains_value, join
 from revtables.functions.text import byte_text, newline_count, utf8_text
 from revtables.operators.interval_join import interval_join
 from revtables.operators.rules import Rule, RuleList, separator_of
+from revtables.session import cut_lineage
 
 FILE = ["oid", "list"]
 # Regions reach over many tokens, so their buckets are wide.
@@ -91,33 +92,42 @@ def _after_last_newline(text: Column) -> Column:
     return F.length(F.substring_index(text, "\n", -1)).cast("long")
 
 
+def _has_blocks(lists: Iterable[RuleList]) -> bool:
+    return any(r.opener or any(rule.family == "nested" for rule in r.rules) for r in lists)
+
+
 def located_tokens(files: DataFrame, lists: list[RuleList]) -> DataFrame:
     """Tokens with start and end as byte, row and column, block level and block end."""
     gap, token = F.col("gap"), F.col("token")
     order = Window.partitionBy(*FILE).orderBy("pos")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     size = F.length(token).cast("long")
+    none = F.lit(0).cast("long")
     after_gap_newline = F.when(newline_count(gap) > 0, F.col("start_byte") - _after_last_newline(gap))
     after_token_newline = F.when(newline_count(token) > 0, F.col("end_byte") - _after_last_newline(token))
+    line_start = F.greatest(
+        F.coalesce(F.max(after_gap_newline).over(order), none), F.coalesce(F.max(after_token_newline).over(earlier), none)
+    )
+    offsets = tokens(files, lists).withColumns(
+        {
+            "end_byte": F.sum(F.length(gap) + size).over(order).cast("long"),
+            "end_row": F.sum(newline_count(gap) + newline_count(token)).over(order).cast("long"),
+        }
+    )
     placed = (
-        tokens(files, lists)
-        .withColumn("end_byte", F.sum(F.length(gap) + size).over(order).cast("long"))
-        .withColumn("start_byte", F.col("end_byte") - size)
-        .withColumn("end_row", F.sum(newline_count(gap) + newline_count(token)).over(order).cast("long"))
-        .withColumn("start_row", F.col("end_row") - newline_count(token))
-        .withColumn("_gap_line", after_gap_newline)
-        .withColumn("_token_line", after_token_newline)
-        .withColumn(
-            "_line",
-            F.greatest(
-                F.coalesce(F.max("_gap_line").over(order), F.lit(0).cast("long")),
-                F.coalesce(F.max("_token_line").over(earlier), F.lit(0).cast("long")),
-            ),
+        offsets.withColumns({"start_byte": F.col("end_byte") - size, "start_row": F.col("end_row") - newline_count(token)})
+        .withColumn("_line", line_start)
+        .withColumns(
+            {
+                "start_col": F.col("start_byte") - F.col("_line"),
+                "end_col": F.col("end_byte") - F.coalesce(after_token_newline, F.col("_line")),
+            }
         )
-        .withColumn("start_col", F.col("start_byte") - F.col("_line"))
-        .withColumn("end_col", F.col("end_byte") - F.coalesce("_token_line", "_line"))
-        .drop("_gap_line", "_token_line", "_line")
+        .drop("_line")
     )
+    if not _has_blocks(lists):
+        point = "struct<end_byte:bigint,end_row:bigint,end_col:bigint>"
+        return placed.withColumns({"delta": F.lit(0), "depth": F.lit(0), "close": F.lit(None).cast(point)})
 
     def is_token(regex: str | None) -> Column:
         return token.rlike(f"(?sd)^(?:{_ungrouped(regex)})\\z") if regex else F.lit(False)
@@ -127,21 +137,19 @@ def located_tokens(files: DataFrame, lists: list[RuleList]) -> DataFrame:
         return is_token("|".join(p for p in [rule_list.opener, *headers] if p))
 
     delta = _per_list(lists, lambda r: F.when(is_token(r.closer), -1).when(opens(r), 1).otherwise(0))
-    group = _per_list(
-        lists, lambda r: F.lower(F.regexp_extract(token, r.group, 1)) if r.group else F.lit("")
-    )
+    group = _per_list(lists, lambda r: F.lower(F.regexp_extract(token, r.group, 1)) if r.group else F.lit(""))
     nested = Window.partitionBy(*FILE, "group").orderBy("pos")
-    level = Window.partitionBy(*FILE, "group", "level").orderBy("pos")
-    closes = F.lead("delta").over(level) == -1
-    end = F.lead(F.struct("end_byte", "end_row", "end_col")).over(level)
+    # Tokens that neither open nor close have no level, so they never stand between the two.
+    level = F.when(F.col("delta") == -1, F.col("depth") + 1).when(F.col("delta") == 1, F.col("depth"))
+    same_level = Window.partitionBy(*FILE, "group", "level").orderBy("pos")
+    closes = (F.col("delta") == 1) & (F.lead("delta").over(same_level) == -1)
+    end = F.lead(F.struct("end_byte", "end_row", "end_col")).over(same_level)
     return (
-        placed.withColumn("delta", delta)
-        .withColumn("group", group)
+        placed.withColumns({"delta": delta, "group": group})
         .withColumn("depth", F.sum("delta").over(nested))
-        .withColumn("level", F.when(F.col("delta") == -1, F.col("depth") + 1).otherwise(F.col("depth")))
-        # Tokens that neither open nor close must not stand between the two.
-        .withColumn("level", F.when(F.col("delta") != 0, F.col("level")))
-        .withColumn("close", F.when((F.col("delta") == 1) & closes, end))
+        .withColumn("level", level)
+        .withColumn("close", F.when(closes, end))
+        .drop("group", "level")
     )
 
 
@@ -195,16 +203,31 @@ def rule_matches(files: DataFrame, lists: list[RuleList]) -> DataFrame:
     )
     families = {rule.family for rule_list in lists for rule in rule_list.rules}
     point = ["end_byte", "end_row", "end_col"]
-    marked = (
-        located_tokens(files, lists)
-        .withColumn("candidates", candidates)
-        .withColumn("here", F.struct(*point))
-        .withColumn("next_close", following("close"))
-        .withColumn("next_here", F.when(following("gap") == "", following("here")))
-        .withColumn("next_gap", following("gap"))
-        .withColumn("next_opens", (following("delta") == 1) & (following("gap") == ""))
-        .withColumn("next_ends", _per_list(lists, lambda r: following("token").rlike(f"(?sd)^(?:{r.end})\\z") if r.end else F.lit(False)))
+    ends = _per_list(lists, lambda r: F.col("token").rlike(f"(?sd)^(?:{r.end})\\z") if r.end else F.lit(False))
+    marked = located_tokens(files, lists).withColumns(
+        {"candidates": candidates, "here": F.struct(*point), "ends": ends}
     )
+    if families - {"match", "nested", "section"}:
+        adjacent = following("gap") == ""
+        marked = marked.withColumns(
+            {
+                "next_close": following("close"),
+                "next_here": F.when(adjacent, following("here")),
+                "next_gap": following("gap"),
+                "next_opens": (following("delta") == 1) & adjacent,
+                "next_ends": following("ends"),
+            }
+        )
+    else:
+        unknown = {"next_close": marked.schema["close"].dataType, "next_here": marked.schema["here"].dataType}
+        marked = marked.withColumns(
+            {
+                **{name: F.lit(None).cast(type_) for name, type_ in unknown.items()},
+                "next_gap": F.lit(None).cast("string"),
+                "next_opens": F.lit(False),
+                "next_ends": F.lit(False),
+            }
+        )
     if "section" in families:
         def starts_section(rule_list: RuleList) -> Column:
             headers = [rule.header for rule in rule_list.rules if rule.family in ("section", "block")]
@@ -325,7 +348,8 @@ def extract_regions(files: DataFrame, lists: list[RuleList]) -> DataFrame:
     Returns (oid, list, kind, qualifiers, full_qualifiers, ranges, line_size,
     byte_size, first_seq); ``qualifiers`` is the joined full name.
     """
-    regions = merge_regions(with_full_names(rule_matches(files, lists)))
+    # Matches are looked up twice and are small next to the texts they come from.
+    regions = merge_regions(with_full_names(cut_lineage(rule_matches(files, lists))))
     return regions.select(
         *FILE,
         "kind",

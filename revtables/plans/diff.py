@@ -53,7 +53,7 @@ def diff_files(
     )
     result = whole_files.unionByName(modified_files)
     if lists:
-        regions = texts.regions()
+        regions = cut_lineage(texts.regions())
         whole_symbols = one_sided.join(regions, ["oid", "list"]).select(
             "change", "kind", "qualifiers", F.col("path").alias("file_path"), *one_side("line_size")
         )

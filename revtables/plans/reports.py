@@ -6,13 +6,14 @@ small result. Nothing is gathered into one document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revtables.functions.ids import hex_id, short_id
 from revtables.functions.text import strip_line_end
 from revtables.operators.cochange import FILE_KIND
 from revtables.schema import SYMBOL
+from revtables.session import cut_lineage
 
 # The marks of a text report and the names of the two status lists.
 MARKS = {"added": "+", "deleted": "-", "modified": "~"}
@@ -99,55 +100,56 @@ def _mark(change: Column) -> Column:
     return mark
 
 
+def _with_file_change(changes: DataFrame, *keys: str) -> DataFrame:
+    """Each row with the change of its file row; rows of files without one are left out.
+
+    The window holds the symbols of one file.
+    """
+    file = Window.partitionBy(*keys, "file_path")
+    found = F.max(F.when(F.col("kind") == FILE_KIND, F.col("change"))).over(file)
+    return changes.withColumn("file_change", found).where("file_change is not null")
+
+
 def grouped_symbols(changes: DataFrame) -> DataFrame:
-    """File rows with their symbols; symbols without a file row are left out."""
-    files = changes.where(F.col("kind") == FILE_KIND).select("file_path", F.col("change").alias("file_change"))
-    symbols = changes.where(F.col("kind") != FILE_KIND)
-    return symbols.join(files, "file_path")
+    """Symbols with the change of their file; symbols without a file row are left out."""
+    return _with_file_change(changes).where(F.col("kind") != FILE_KIND)
 
 
-def report_lines(changes: DataFrame) -> DataFrame:
-    """(file_path, seq, kind, qualifiers, line): a file line, then its symbols, files by path."""
-    files = changes.where(F.col("kind") == FILE_KIND).select(
+def _lines(changes: DataFrame, *keys: str) -> DataFrame:
+    is_file = F.col("kind") == FILE_KIND
+    mark = _mark(F.col("change"))
+    symbol_line = F.concat(F.lit("  "), F.concat_ws(" ", mark, "kind", "qualifiers"))
+    return _with_file_change(changes, *keys).select(
+        *keys,
         "file_path",
-        F.lit(0).alias("seq"),
+        F.when(is_file, 0).otherwise(1).alias("seq"),
         "kind",
         "qualifiers",
-        F.concat_ws(" ", _mark(F.col("change")), "file_path").alias("line"),
+        F.when(is_file, F.concat_ws(" ", mark, "file_path")).otherwise(symbol_line).alias("line"),
     )
-    symbols = grouped_symbols(changes).select(
-        "file_path",
-        F.lit(1).alias("seq"),
-        "kind",
-        "qualifiers",
-        F.concat(F.lit("  "), F.concat_ws(" ", _mark(F.col("change")), "kind", "qualifiers")).alias("line"),
-    )
-    return files.unionByName(symbols).orderBy("file_path", "seq", "kind", "qualifiers")
+
+
+def report_lines(changes: DataFrame) -> DataFrame:
+    """(file_path, seq, kind, qualifiers, line): a file line, then its symbols, files by path."""
+    return _lines(changes).orderBy("file_path", "seq", "kind", "qualifiers")
 
 
 def status_lines(status: DataFrame) -> DataFrame:
     """Both reports with their headers, staged first; one line when nothing has changed."""
-    parts = None
-    for number, stage in enumerate(["staged", "unstaged"]):
-        mine = status.where(F.col("stage") == stage)
-        header = mine.limit(1).select(
-            F.lit(number).alias("part"),
-            F.lit("").alias("file_path"),
-            F.lit(-1).alias("seq"),
-            F.lit("").alias("kind"),
-            F.lit("").alias("qualifiers"),
-            F.lit(HEADERS[stage]).alias("line"),
-        )
-        body = report_lines(mine).select(F.lit(number).alias("part"), "*")
-        both = header.unionByName(body)
-        parts = both if parts is None else parts.unionByName(both)
-    nothing = status.agg(F.count("*").alias("n")).where("n = 0")
-    empty = nothing.select(
-        F.lit(0).alias("part"),
-        F.lit("").alias("file_path"),
-        F.lit(0).alias("seq"),
-        F.lit("").alias("kind"),
-        F.lit("").alias("qualifiers"),
-        F.lit(NO_CHANGES).alias("line"),
+    body = cut_lineage(_lines(status, "stage"))
+    part = F.when(F.col("stage") == "staged", 0).otherwise(1)
+    header = F.when(F.col("stage") == "staged", HEADERS["staged"]).otherwise(HEADERS["unstaged"])
+    headers = body.select("stage").distinct()
+    if headers.isEmpty():
+        headers, header = body.sparkSession.range(1).select(F.lit("staged").alias("stage")), F.lit(NO_CHANGES)
+    empty = F.lit("")
+    first = headers.select(
+        part.alias("part"),
+        empty.alias("file_path"),
+        F.lit(-1).alias("seq"),
+        empty.alias("kind"),
+        empty.alias("qualifiers"),
+        header.alias("line"),
     )
-    return parts.unionByName(empty).orderBy("part", "file_path", "seq", "kind", "qualifiers")
+    rest = body.select(part.alias("part"), "file_path", "seq", "kind", "qualifiers", "line")
+    return first.unionByName(rest).orderBy("part", "file_path", "seq", "kind", "qualifiers")
