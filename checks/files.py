@@ -610,6 +610,12 @@ FROM both_stages WHERE kind <> 'file'""",
     ),
     "build_history": DOCUMENT_HISTORY,
     "build_history_in_two_steps": DOCUMENT_HISTORY,
+    "build_history_by_stream": _history(
+        """
+  SELECT commit_id, commit_id AS seconds, path, previous AS bc, text AS ac FROM revisions
+  WHERE text IS DISTINCT FROM previous""",
+        (REVISIONS,),
+    ),
     "merged_symbols": with_(
         BEFORE,
         AFTER,

@@ -17,11 +17,11 @@ region, the regex groups of its names, and how far the region reaches:
 
 from __future__ import annotations
 
-import re
 import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,17 +173,26 @@ def verify_rules(rules: DataFrame) -> DataFrame:
     return rules.select("list", "rule_no", F.explode(problems).alias("problem"))
 
 
-def regex_problems(lists: Iterable[RuleList]) -> list[tuple[str, int, str]]:
-    """Headers, leads and captures that do not compile."""
-    found = []
-    for rule_list in lists:
-        for number, rule in enumerate(rule_list.rules):
-            for regex in [rule.header, rule.before, rule.lead, rule.each, *[c for _, c in rule.captures]]:
-                try:
-                    re.compile(regex or "")
-                except re.error as error:
-                    found.append((rule_list.name, number, str(error)))
-    return found
+def regex_problems(spark: SparkSession, lists: Iterable[RuleList]) -> list[tuple[str, int, str]]:
+    """(list, rule number, regex) of the regexes Spark cannot compile."""
+    regexes = [
+        (rule_list.name, number, regex)
+        for rule_list in lists
+        for number, rule in enumerate(rule_list.rules)
+        for regex in [rule.header, rule.before, rule.lead, rule.each, *[c for _, c in rule.captures]]
+        if regex
+    ]
+
+    def compiles(some: list[tuple[str, int, str]]) -> bool:
+        try:
+            spark.range(1).select(*[F.lit("").rlike(regex) for _, _, regex in some]).collect()
+        except SparkRuntimeException:
+            return False
+        return True
+
+    if not regexes or compiles(regexes):
+        return []
+    return [one for one in regexes if not compiles([one])]
 
 
 def parse_rule_list(name: str, text: str) -> RuleList:
@@ -229,9 +238,8 @@ def load_rule_lists(spark: SparkSession, folder: str) -> tuple[list[RuleList], l
     Rule files are configuration, a handful of small texts, hence read on the driver.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.toml")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*.toml")
+        .text(folder, wholetext=True)
         .select(F.input_file_name().alias("file"), "value")
         .orderBy("file")
         .collect()
@@ -244,8 +252,8 @@ def load_rule_lists(spark: SparkSession, folder: str) -> tuple[list[RuleList], l
         except ValueError as error:
             errors.append((row.file, str(error)))
             continue
-        bad = regex_problems([rule_list])
-        errors += [(row.file, problem) for _, _, problem in bad]
+        bad = regex_problems(spark, [rule_list])
+        errors += [(row.file, f"regex of rule {number}: {regex}") for _, number, regex in bad]
         if not bad:
             lists.append(rule_list)
     return lists, errors

@@ -47,8 +47,9 @@ def read_files(
 ) -> DataFrame:
     """(path, mode, oid, mtime, content) of all files under ``root``, or of one file.
 
-    Paths are relative to ``root``; hidden files are included, the repository's own
-    folder is not. Select the columns you need: a scan without ``content`` and
+    Paths are relative to ``root``; the repository's own folder is left out. Spark's
+    file sources skip names that start with a dot or an underscore, so these are left
+    out too; bring them in as a table if they matter. Select the columns you need: a scan without ``content`` and
     ``oid`` does not read any file.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
