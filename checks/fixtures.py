@@ -33,6 +33,7 @@ HTML = RuleList(
     opener=rf"<(?:{ALL_TAGS})\b[^>]*>",
     closer=rf"</(?:{ALL_TAGS})\s*>",
     group=r"^</?([a-zA-Z0-9]+)",
+    start="<",
     rules=(
         *[Rule(tag, "nested", rf"<({tag})\b[^>]*>") for tag in TAGS],
         Rule("link", "nested", r'<a\b[^>]*?href="([^"]*)"[^>]*>'),
@@ -190,14 +191,14 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as (oid, list, content), the page id standing for the content's id."""
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("oid"), F.lit(HTML.name).alias("list"), F.col("html").cast("binary").alias("content")
-    )
+    ).repartition("oid")
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as (oid, list, content), the document id standing for the content's id."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("oid"), F.lit(PROSE.name).alias("list"), F.col("text").cast("binary").alias("content")
-    )
+    ).repartition("oid")
 
 
 def event_changes(events: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ def _rust() -> RuleList:
         name="rust",
         separator="::",
         file_types=("rs",),
+        start=r"[{};#]|\b[a-z]",
         mask="|".join([LINE_COMMENT, BLOCK_COMMENT, r'r#".*?"#', DOUBLE_QUOTED, CHARACTER]),
         **BRACES,
         rules=(
@@ -77,6 +78,7 @@ def _csharp() -> RuleList:
         name="csharp",
         separator=".",
         file_types=("cs",),
+        start=r"[{};\[]|\b[A-Za-z_]",
         mask="|".join([LINE_COMMENT, BLOCK_COMMENT, r'@"(?:[^"]|"")*+"', DOUBLE_QUOTED, CHARACTER]),
         **BRACES,
         rules=(
@@ -104,6 +106,7 @@ def _c() -> RuleList:
         name="c",
         separator="",
         file_types=("c", "h"),
+        start=r"[{};]|\b[A-Za-z_]",
         mask="|".join([LINE_COMMENT, BLOCK_COMMENT, DOUBLE_QUOTED, CHARACTER, r"(?m:^[ \t]*#(?:[^\n\\]|\\.)*)"]),
         **BRACES,
         rules=(
@@ -187,6 +190,7 @@ def _lua() -> RuleList:
         name="lua",
         separator=".",
         file_types=("lua",),
+        start=r"\b[A-Za-z_]",
         mask="|".join([r"--\[\[.*?\]\]", r"--[^\n]*", r"\[\[.*?\]\]", DOUBLE_QUOTED, SINGLE_QUOTED]),
         opener=r"\b(?:function|if|do|repeat)\b",
         closer=r"\b(?:end|until)\b",
@@ -215,6 +219,7 @@ def _typescript() -> RuleList:
         name="typescript",
         separator=".",
         file_types=("ts",),
+        start=r"[{};#]|\b[A-Za-z_$]",
         mask=SCRIPT_MASK,
         **BRACES,
         rules=(
@@ -232,6 +237,7 @@ def _javascript() -> RuleList:
         name="javascript",
         separator=".",
         file_types=("js",),
+        start=r"[{};#]|\b[A-Za-z_$]",
         mask=SCRIPT_MASK,
         **BRACES,
         rules=(
@@ -248,6 +254,7 @@ def _go() -> RuleList:
         name="go",
         separator=".",
         file_types=("go",),
+        start=r"[{}\s]|\b[cft]",
         mask="|".join([LINE_COMMENT, BLOCK_COMMENT, r"`[^`]*`", DOUBLE_QUOTED, CHARACTER]),
         opener=r"\{",
         closer=r"\}",

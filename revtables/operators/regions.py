@@ -36,11 +36,13 @@ def _masked(text: Column, rule_list: RuleList) -> Column:
     """Blank out the pieces matched by ``mask``, keeping length and newlines."""
     if rule_list.mask is None:
         return text
-    rest = F.regexp_extract_all(text, F.lit(f"(?sd)(.*?)({rule_list.mask}|\\z)"), F.lit(1))
-    hits = F.regexp_extract_all(text, F.lit(f"(?sd)(.*?)({rule_list.mask}|\\z)"), F.lit(2))
-    return F.array_join(
-        F.zip_with(rest, hits, lambda plain, hit: F.concat(plain, F.regexp_replace(hit, r"[^\n]", " "))), ""
+    mask = f"(?sd)(?:{rule_list.mask})"
+    blank = F.transform(F.regexp_extract_all(text, F.lit(mask), F.lit(0)), lambda hit: F.regexp_replace(hit, r"[^\n]", " "))
+    # One more piece than hits: the last one stands alone.
+    pieces = F.zip_with(
+        F.split(text, mask, -1), blank, lambda plain, hit: F.concat(plain, F.coalesce(hit, F.lit("")))
     )
+    return F.array_join(pieces, "")
 
 
 def _ungrouped(regex: str) -> str:
@@ -66,7 +68,8 @@ def _token_regex(rule_list: RuleList) -> str:
     parts += [p for p in (rule_list.opener, rule_list.closer, rule_list.end, rule_list.boundary, rule_list.extra) if p]
     # Rules may share a header; each alternative is tried once.
     unique = list(dict.fromkeys(_ungrouped(p) for p in parts))
-    return "(?sd)(.*?)(" + "|".join(unique) + "|\\z)"
+    start = f"(?={rule_list.start})" if rule_list.start else ""
+    return f"(?sd){start}(?:" + "|".join(unique) + ")"
 
 
 def tokens(files: DataFrame, lists: list[RuleList]) -> DataFrame:
@@ -78,13 +81,13 @@ def tokens(files: DataFrame, lists: list[RuleList]) -> DataFrame:
     text = files.select(*FILE, byte_text(F.col("content")).alias("_text"))
     masked = text.select(*FILE, _per_list(lists, lambda r: _masked(F.col("_text"), r)).alias("_text"))
 
-    def group(n: int) -> Column:
-        return _per_list(lists, lambda r: F.regexp_extract_all(F.col("_text"), F.lit(_token_regex(r)), F.lit(n)))
-
+    gaps = _per_list(lists, lambda r: F.split(F.col("_text"), _token_regex(r), -1))
+    found = _per_list(lists, lambda r: F.regexp_extract_all(F.col("_text"), F.lit(_token_regex(r)), F.lit(0)))
+    # One more gap than tokens: the rest of the file, with an empty token.
     return (
-        masked.select(*FILE, F.arrays_zip(group(1).alias("gap"), group(2).alias("token")).alias("_pairs"))
+        masked.select(*FILE, F.arrays_zip(gaps.alias("gap"), found.alias("token")).alias("_pairs"))
         .select(*FILE, F.posexplode("_pairs").alias("pos", "_pair"))
-        .select(*FILE, "pos", "_pair.gap", "_pair.token")
+        .select(*FILE, "pos", "_pair.gap", F.coalesce("_pair.token", F.lit("")).alias("token"))
     )
 
 

@@ -77,6 +77,8 @@ class RuleList:
     boundary: str | None = None
     # Other tokens the families need to see.
     extra: str | None = None
+    # What every token begins with; only saves time.
+    start: str | None = None
     text: str = field(default="", compare=False)
 
 
@@ -228,7 +230,7 @@ def parse_rule_list(name: str, text: str) -> RuleList:
         exact_file_names=tuple(data["file"].get("exact_file_names", ())),
         rules=rules,
         text=text,
-        **{k: tokens.get(k) for k in ("mask", "opener", "closer", "end", "group", "boundary", "extra")},
+        **{k: tokens.get(k) for k in ("mask", "opener", "closer", "end", "group", "boundary", "extra", "start")},
     )
 
 

@@ -8,19 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# What a cluster session should have too. Skewed joins are split at run time, and an
+# Arrow batch is bounded by bytes, as one row may hold the lines of a large file.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def local_session(cores: str = "8", app: str = "revtables") -> SparkSession:
     """A session for one machine; a cluster brings its own session instead."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for name, value in SETTINGS.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
