@@ -9,11 +9,12 @@ from checks import fixtures as fx
 from checks.sql import AFTER, BEFORE, INDEX, PAIRS, diff, line_count, newlines, with_
 from revtables.functions.ids import blob_id
 from revtables.functions.paths import extension, file_name
+from revtables.functions.text import byte_text, newline_count, split_lines
 from revtables.functions.text import line_count as count_lines
-from revtables.functions.text import newline_count
 from revtables.operators import line_diff as lines
 from revtables.operators import snapshots
 from revtables.operators.interval_join import interval_join
+from revtables.operators.positions import with_previous
 from revtables.operators.rules import rule_list_of
 from revtables.plans import diff as diffs
 from revtables.plans import merge, reports
@@ -21,8 +22,8 @@ from revtables.plans.history import build_changes
 from revtables.session import cut_lineage
 from revtables.sources import objects
 from revtables.sources.files import read_files
-from revtables.streaming.history_stream import revision_stream
 from revtables.sources.store import open_changes
+from revtables.streaming.history_stream import revision_stream
 
 DOCUMENT = ["doc_id"]
 
@@ -146,8 +147,6 @@ def line_diff_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _revision_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Consecutive turns of a conversation as (commit_id, before, after)."""
-    from revtables.operators.positions import with_previous
-
     log = fx.conversation_log(spark, sf).select("commit_id", "path", "revision", "content")
     paired = with_previous(log, ["path"], ["revision"], ["content"])
     return paired.where("previous_content is not null").select(
@@ -167,8 +166,6 @@ def line_diff_laws(spark: SparkSession, sf: str) -> DataFrame:
     bound = lines.multiset_line_diff(pairs, ["commit_id"]).groupBy("commit_id").agg(
         F.count(F.when(F.col("side") == "lhs", 1)).alias("l"), F.count(F.when(F.col("side") == "rhs", 1)).alias("r")
     )
-    from revtables.functions.text import byte_text, split_lines
-
     def kept(side: str, novel: str):
         return F.filter(split_lines(byte_text(F.col(side))), lambda _, i: ~F.array_contains(F.col(novel), i))
 
@@ -187,8 +184,6 @@ def line_diff_laws(spark: SparkSession, sf: str) -> DataFrame:
 def hunks(spark: SparkSession, sf: str) -> DataFrame:
     """Hunks of documents whose lines are all different, where only one alignment is best."""
     pairs = fx.document_pairs(spark, sf)
-    from revtables.functions.text import split_lines
-
     all_different = F.size(F.array_distinct(split_lines(F.col("before").cast("string")))) == F.size(
         split_lines(F.col("before").cast("string"))
     )
@@ -214,8 +209,6 @@ def rebuilt_by_edits(spark: SparkSession, sf: str) -> DataFrame:
 
 def shifted_edits(spark: SparkSession, sf: str) -> DataFrame:
     """Start of each edit after the earlier ones, on documents with one best alignment."""
-    from revtables.functions.text import split_lines
-
     text = split_lines(F.col("before").cast("string"))
     pairs = cut_lineage(
         fx.document_pairs(spark, sf).where(F.size(F.array_distinct(text)) == F.size(text))

@@ -7,9 +7,13 @@ from itertools import product
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from revtables.operators.regions import regions_at
 from revtables.schema import SYMBOL
 
 
+SYMBOL_STRUCT = "struct<kind:string,qualifiers:string,file_path:string>"
+
+
 class SymbolNotResolved(ValueError):
     """No symbol, or more than one, fits the given arguments."""
 
@@ -66,8 +70,6 @@ def find_symbol(
     if located and (row is None or column is None):
         raise SymbolNotResolved("a location needs row and column")
     if located:
-        from revtables.operators.regions import regions_at
-
         if regions is None:
             raise SymbolNotResolved("a location needs the regions of the file")
         here = regions.where(F.col("file_path") == file_path)
@@ -99,11 +101,11 @@ def resolve_symbols(changes: DataFrame, filters: DataFrame) -> DataFrame:
         for name, is_given in zip(SYMBOL, given):
             mine = mine.where(F.col(name).isNotNull() if is_given else F.col(name).isNull())
         if not keys:
-            parts.append(mine.select("filter_id", F.lit(None).cast("long").alias("matches"), F.lit(None).cast(
-                "struct<kind:string,qualifiers:string,file_path:string>").alias("s")))
+            none = [F.lit(None).cast("long").alias("matches"), F.lit(None).cast(SYMBOL_STRUCT).alias("s")]
+            parts.append(mine.select("filter_id", *none))
             continue
         counted = symbols.groupBy(*keys).agg(
-            F.count("*").alias("matches"), F.min(F.struct(*[F.col(c).alias(c) for c in SYMBOL])).alias("s")
+            F.count("*").alias("matches"), F.min(F.struct(*[F.col(c) for c in SYMBOL])).alias("s")
         )
         parts.append(
             mine.select("filter_id", *keys)
