@@ -45,7 +45,7 @@ def find_objects(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
     rest of the prefix is checked inside its bucket.
     """
     head = F.substring(F.lower("prefix"), 1, SHORTEST_PREFIX)
-    asked = prefixes.select("prefix", head.alias("_head"))
+    asked = prefixes.select("prefix", head.alias("_head")).distinct()
     keyed = ids.select("id", F.substring("id", 1, SHORTEST_PREFIX).alias("_head"))
     hits = (
         asked.join(keyed, "_head")

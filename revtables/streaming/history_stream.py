@@ -52,21 +52,36 @@ LAST = T.StructType(
 )
 
 
-def _last_revisions(spark: SparkSession, folder: str, before_batch: int) -> DataFrame:
-    """Latest known revision of every path, as of the batches before ``before_batch``."""
+# After this many batches the last revisions of all paths are written together, so a
+# batch never reads more than that many small folders.
+COMPACT_EVERY = 50
+
+
+def _read_state(spark: SparkSession, folder: str) -> DataFrame:
     try:
-        known = spark.read.schema(LAST).parquet(folder)
+        return spark.read.schema(LAST).parquet(folder)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LAST)
-    return (
-        known.where(F.col("batch") < before_batch)
-        .groupBy("path")
-        .agg(F.max_by("oid", "revision").alias("oid"), F.max("revision").alias("revision"))
+
+
+def _newest(revisions: DataFrame) -> DataFrame:
+    return revisions.groupBy("path").agg(
+        F.max_by("oid", "revision").alias("oid"), F.max("revision").cast("long").alias("revision")
     )
 
 
+def _last_revisions(spark: SparkSession, state: str, before_batch: int) -> DataFrame:
+    """Latest known revision of every path, as of the batches before ``before_batch``."""
+    base = max(before_batch - 1, 0) // COMPACT_EVERY * COMPACT_EVERY
+    batch = F.col("batch")
+    compacted = _read_state(spark, f"{state}/all").where((batch == base) & (F.lit(base) > 0))
+    after = batch > base if base else F.lit(True)
+    recent = _read_state(spark, f"{state}/batches").where(after & (batch < before_batch))
+    return _newest(compacted.unionByName(recent))
+
+
 def revision_stream(
     stream: DataFrame,
     blobs: Callable[[], DataFrame],
@@ -79,9 +94,10 @@ def revision_stream(
 
     The previous revision of a path may have come in an earlier batch, so the last
     revision of each path is kept as a table of hashes under ``state``, one folder
-    per batch. A batch reads the folders before its own and overwrites its own,
-    which makes a repeated batch give the same rows. Revisions of one path must
-    arrive in order across batches; inside a batch any order will do.
+    per batch and now and then one for all paths. A batch reads the folders before
+    its own and overwrites its own, which makes a repeated batch give the same rows.
+    Revisions of one path must arrive in order across batches; inside a batch any
+    order will do.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -90,15 +106,17 @@ def revision_stream(
         touched = rows.select("path").distinct()
         last = _last_revisions(spark, state, batch_id).join(touched, "path", "left_semi")
         id_type = rows.schema["commit_id"].dataType
-        earlier = last.select(
-            F.lit(None).cast(id_type).alias("commit_id"), "path", F.col("revision").cast("long").alias("revision"), "oid"
-        )
+        earlier = last.select(F.lit(None).cast(id_type).alias("commit_id"), "path", "revision", "oid")
         log = rows.select("commit_id", "path", F.col("revision").cast("long").alias("revision"), "oid")
         changes = revision_changes(earlier.unionByName(log)).where("commit_id is not null")
         times = rows.select("commit_id", "seconds_since_epoch").distinct()
         append_changes(changes_of(changes, times, blobs(), lists), table)
-        newest = log.groupBy("path").agg(F.max_by("oid", "revision").alias("oid"), F.max("revision").alias("revision"))
-        newest.select("path", "revision", "oid").write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        own = f"batch={batch_id}"
+        newest = _newest(log)
+        newest.write.mode("overwrite").parquet(f"{state}/batches/{own}")
+        if batch_id > 0 and batch_id % COMPACT_EVERY == 0:
+            everything = _last_revisions(spark, state, batch_id).unionByName(newest)
+            _newest(everything).write.mode("overwrite").parquet(f"{state}/all/{own}")
 
     return (
         stream.writeStream.foreachBatch(write)

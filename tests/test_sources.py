@@ -8,6 +8,7 @@ from revtables.functions import ids, paths, text
 from revtables.sources import objects
 from revtables.sources.files import read_files
 from revtables.sources.store import open_changes
+from revtables.streaming import history_stream
 from revtables.streaming.history_stream import revision_stream
 
 
@@ -60,7 +61,7 @@ def test_objects_by_prefix(spark):
     for prefix in ("abcd", "0000"):
         with pytest.raises(objects.ObjectNotFound):
             objects.find_object(table, prefix)
-    asked = spark.createDataFrame([("abcd",), ("abcd01",), ("FFFF",), ("0000",), ("abc",)], "prefix string")
+    asked = spark.createDataFrame([("abcd",), ("abcd01",), ("abcd01",), ("FFFF",), ("0000",), ("abc",)], "prefix string")
     got = objects.find_objects(table.select(ids.hex_id(F.col("commit_id")).alias("id")), asked)
     assert {r.prefix: (r.status, r.id) for r in got.collect()} == {
         "abcd": ("ambiguous", None),
@@ -71,9 +72,10 @@ def test_objects_by_prefix(spark):
     }
 
 
-def test_stream_in_many_batches_and_again(spark, tmp_path):
+def test_stream_in_many_batches_and_again(spark, tmp_path, monkeypatch):
     """One file per revision step, then a late restart with nothing new."""
-    log = [(1, 10, "a.en", 1, "x one\ny"), (2, 20, "a.en", 2, "x two\ny"), (3, 30, "b.en", 1, "z"), (4, 40, "a.en", 3, None)]
+    monkeypatch.setattr(history_stream, "COMPACT_EVERY", 2)
+    log = [(1, 10, "a.en", 1, "x one\ny"), (2, 20, "a.en", 2, "x two\ny"), (3, 30, "b.en", 1, "z"), (4, 40, "a.en", 3, None), (5, 50, "b.en", 2, "z!")]
     texts = {t for *_, t in log if t is not None}
     blobs = (
         spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "content binary")
@@ -98,9 +100,12 @@ def test_stream_in_many_batches_and_again(spark, tmp_path):
     run()
     land(log[1:3], "2")
     run()
-    land(log[3:], "3")
+    land(log[3:4], "3")
     run()
+    land(log[4:], "4")
     run()
+    run()
+    assert {p.name for p in (tmp_path / "state" / "all").iterdir()} == {"batch=2"}
     rows = open_changes(spark, str(tmp_path / "changes"), LongType())
     got = {(r.commit_id, r.kind, r.qualifiers, r.file_path): (r.novel_lhs, r.novel_rhs, r.size_after) for r in rows.collect()}
     assert got == {
@@ -114,4 +119,7 @@ def test_stream_in_many_batches_and_again(spark, tmp_path):
         (4, "line", "x", "a.en"): (1, 0, 0),
         (4, "line", "y", "a.en"): (1, 0, 0),
         (4, "file", "", "a.en"): (1, 0, 0),
+        (5, "line", "z", "b.en"): (1, 0, 0),
+        (5, "line", "z!", "b.en"): (0, 1, 1),
+        (5, "file", "", "b.en"): (1, 1, 0),
     }
