@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fnmatch import fnmatch
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,34 +47,73 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def _skipped_by_spark(name: str) -> bool:
+    """File and folder names that Spark's file sources leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def _hidden_files(spark: SparkSession, root: str, name_glob: str | None) -> DataFrame | None:
+    """(path, mtime, content) of the files Spark skips; names are listed here, contents read in tasks."""
+    uri = root if "://" in root else f"file://{root.removeprefix('file:')}"
+    system, base = fs.FileSystem.from_uri(uri)
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        return None
+    rows = []
+    for info in system.get_file_info(fs.FileSelector(base, recursive=True)):
+        path = info.path.removeprefix(base).lstrip("/")
+        parts = path.split("/")
+        if info.type != fs.FileType.File or REPOSITORY_FOLDER in parts[:-1]:
+            continue
+        if any(map(_skipped_by_spark, parts)) and (name_glob is None or fnmatch(parts[-1], name_glob)):
+            rows.append((path, int(info.mtime_ns // 10**9)))
+    if not rows:
+        return None
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, folder = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, mtime in zip(batch["path"], batch["mtime"]):
+                with here.open_input_stream(f"{folder.rstrip('/')}/{path}") as source:
+                    yield pd.DataFrame({"path": [path], "mtime": [mtime], "content": [source.read()]})
+
+    names = spark.createDataFrame(rows, "path string, mtime long").repartition("path")
+    return names.mapInPandas(read, "path string, mtime long, content binary")
+
+
 def read_files(
-    spark: SparkSession, root: str, ignore: list[str] | None = None, name_glob: str | None = None
+    spark: SparkSession,
+    root: str,
+    ignore: list[str] | None = None,
+    name_glob: str | None = None,
+    hidden: bool = True,
 ) -> DataFrame:
     """(path, mode, oid, mtime, content) of all files under ``root``, or of one file.
 
-    Paths are relative to ``root``; the repository's own folder is left out. Spark's
-    file sources skip names that start with a dot or an underscore, so these are left
-    out too; bring them in as a table if they matter. Select the columns you need: a scan without ``content`` and
-    ``oid`` does not read any file.
+    Paths are relative to ``root``; the repository's own folder is left out. Hidden
+    names, which Spark's file sources skip, are read by a second scan.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     files = reader.load(root)
     plain = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
-    base = root.removeprefix("file:").rstrip("/")
+    base = root.removeprefix("file://").removeprefix("file:").rstrip("/")
     relative = F.when(plain.startswith(base + "/"), F.substr(plain, F.lit(len(base) + 2))).otherwise(
         F.substring_index(plain, "/", -1)
     )
-    inside = F.concat(F.lit("/"), relative)
+    found = files.select(relative.alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
+    more = _hidden_files(spark, root, name_glob) if hidden else None
+    if more is not None:
+        found = found.unionByName(more)
+    inside = F.concat(F.lit("/"), F.col("path"))
     return (
-        files.select(
-            relative.alias("path"),
+        found.where(~inside.contains(f"/{REPOSITORY_FOLDER}/"))
+        .where(~ignored(F.col("path"), ignore or []))
+        .select(
+            "path",
             F.lit(REGULAR_FILE_MODE).alias("mode"),
             blob_id(F.col("content")).alias("oid"),
-            F.unix_timestamp("modificationTime").alias("mtime"),
+            "mtime",
             "content",
         )
-        .where(~inside.contains(f"/{REPOSITORY_FOLDER}/"))
-        .where(~ignored(F.col("path"), ignore or []))
     )

@@ -34,22 +34,26 @@ def test_scalars(spark):
 
 
 def test_files_of_a_folder(spark, tmp_path):
-    names = ["a.rs", "sub/b c.rs", "sub/.hidden", ".git/config", "sub/.git/x", "target/out.rs", "sub/target/deep.rs", "plus+ü.txt"]
+    names = ["a.rs", "sub/b c.rs", "sub/.hidden", ".git/config", "sub/.git/x", "_x/y.rs", "target/out.rs", "sub/target/deep.rs", "plus+ü.txt"]
     for name in names:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(name)
     everything = read_files(spark, str(tmp_path))
     assert {r.path for r in everything.select("path").collect()} == {
-        "a.rs", "sub/b c.rs", "target/out.rs", "sub/target/deep.rs", "plus+ü.txt",
+        "a.rs", "sub/b c.rs", "sub/.hidden", "_x/y.rs", "target/out.rs", "sub/target/deep.rs", "plus+ü.txt",
     }
+    secret = everything.where("path = 'sub/.hidden'").first()
+    assert bytes(secret.content) == b"sub/.hidden" and secret.oid == everything.where(
+        "path = 'sub/.hidden'").select(ids.blob_id(F.lit("sub/.hidden")).alias("o")).first().o
+    assert everything.count() == 7
     row = everything.where("path = 'a.rs'").first()
     assert bytes(row.content) == b"a.rs" and row.mode == "100644" and row.mtime > 0
 
     def left(*ignore):
         return {r.path for r in read_files(spark, str(tmp_path), list(ignore)).select("path").collect()}
 
-    assert left("target/") == {"a.rs", "sub/b c.rs", "plus+ü.txt"}
-    assert left("/target", "*.txt") == {"a.rs", "sub/b c.rs", "sub/target/deep.rs"}
+    assert left("target/") == {"a.rs", "sub/b c.rs", "sub/.hidden", "_x/y.rs", "plus+ü.txt"}
+    assert left("/target", "*.txt", "_x") == {"a.rs", "sub/b c.rs", "sub/.hidden", "sub/target/deep.rs"}
     assert left("*", "!sub/**/*.rs") == {"sub/b c.rs", "sub/target/deep.rs"}
     assert {r.path for r in read_files(spark, str(tmp_path / "a.rs")).collect()} == {"a.rs"}
     assert {r.path for r in read_files(spark, str(tmp_path), name_glob="*.txt").collect()} == {"plus+ü.txt"}
