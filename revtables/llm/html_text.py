@@ -28,7 +28,7 @@ from revtables.llm.html_tree import Node, parse
 
 FEATURES = 1 << 13
 #: Pages that the model is fitted on at most, those of the smallest hash, and layouts made of each.
-TRAINING_PAGES, LAYOUTS = 300, 3
+TRAINING_PAGES, LAYOUTS = 400, 2
 ROUNDS = 160
 CONTENT_FROM = 0.5
 KINDS = ("#text", "block", "list", "other")
@@ -80,6 +80,7 @@ def features(nodes: list[Node]) -> list[list[int]]:
             n = len(node.text)
             parent = nodes[node.parent]
             found += [
+                _id(f"in {parent.tag} in {nodes[max(0, parent.parent)].tag}"),
                 _id(f"long {min(8, n.bit_length())}"), _id(f"linked {min(4, 4 * node.linked // max(1, n))}"),
                 _id(f"in {parent.tag}"), _id(f"stop {node.text[-1] in '.!?:;…'}"),
             ]
@@ -88,6 +89,8 @@ def features(nodes: list[Node]) -> list[list[int]]:
                 found.append(_id(f"name {word}"))
             if node.names:
                 found.append(_id("named"))
+            if node.parent >= 0:
+                found.append(_id(f"{node.tag} under {nodes[node.parent].tag}"))
         out.append(found)
     return out
 

@@ -7,7 +7,7 @@ import re
 
 # Elements of the HTML standard by how they take part in a page's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template noscript iframe svg math".split())
+RAW = frozenset("script style textarea title template noscript iframe svg math button select datalist".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split()
 )
