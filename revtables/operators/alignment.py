@@ -1,78 +1,87 @@
-"""Ordered alignment of two short lists of lines; the only Python inside tasks."""
+"""Ordered alignment of two lists of lines; the only Python inside tasks.
+
+The alignment is a longest common subsequence at every size. A row of its table is one
+whole number whose bits say where the length grows, so a line takes a few operations on
+it; halving one list and splitting the other where both halves fit best gives the pairs
+in memory that is linear in the lines.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 
-# Up to this many equal-line pairs a gap is aligned by an exact longest common
-# subsequence; a gap with more is first split at the lines that occur once.
-EXACT_PAIRS = 200_000
+# Bit rows of lines that occur again are kept while they take no more bytes than this.
+KEPT_BYTES = 64_000_000
+
+
+def _lengths(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``before`` and each prefix of ``after``."""
+    m = len(after)
+    order = np.argsort(after, kind="stable")
+    edges = np.searchsorted(after[order], np.append(np.unique(after), np.iinfo(np.int64).max))
+    places = {int(after[order[a]]): order[a:z] for a, z in zip(edges, edges[1:])}
+    row = full = (1 << m) - 1
+    kept: dict[int, int] = {}
+    room = KEPT_BYTES // (m // 8 + 1)
+    for token in before.tolist():
+        match = kept.get(token)
+        if match is None:
+            at = places.get(token)
+            if at is None:
+                continue
+            bits = np.zeros(m, bool)
+            bits[at] = True
+            match = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if len(kept) < room:
+                kept[token] = match
+        both = row & match
+        row = ((row + both) | (row - both)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(m // 8 + 1, "little"), np.uint8), bitorder="little")[:m]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
 
-def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest chain that grows on both sides; pairs come by (left, -right)."""
-    tails: list[int] = []
-    at: list[int] = []
-    back = [-1] * len(pairs)
-    for n, (_, right) in enumerate(pairs):
-        k = bisect_left(tails, right)
-        if k == len(tails):
-            tails.append(right)
-            at.append(n)
-        else:
-            tails[k] = right
-            at[k] = n
-        back[n] = at[k - 1] if k else -1
-    chain, n = [], at[-1] if at else -1
-    while n >= 0:
-        chain.append(pairs[n])
-        n = back[n]
-    return chain[::-1]
+def _same_head(lhs: np.ndarray, rhs: np.ndarray) -> int:
+    n = min(len(lhs), len(rhs))
+    differ = np.flatnonzero(lhs[:n] != rhs[:n])
+    return int(differ[0]) if len(differ) else n
 
 
 def align(before: list, after: list) -> list[tuple[int, int]]:
-    """Positions of a common subsequence of two token lists."""
+    """Positions of a longest common subsequence of two token lists.
+
+    Equal heads and tails are matched, lines that the other side lacks are left out, and
+    what remains is halved; each of these keeps the subsequence as long as it can be.
+    """
+    numbers: dict = {}
+    lhs, rhs = (np.array([numbers.setdefault(t, len(numbers)) for t in side], np.int64) for side in (before, after))
     kept: list[tuple[int, int]] = []
-    gaps = [(0, len(before), 0, len(after))]
+    gaps = [(np.arange(len(lhs)), np.arange(len(rhs)))]
     while gaps:
-        low, high, left, right = gaps.pop()
-        while low < high and left < right and before[low] == after[left]:
-            kept.append((low, left))
-            low, left = low + 1, left + 1
-        while low < high and left < right and before[high - 1] == after[right - 1]:
-            high, right = high - 1, right - 1
-            kept.append((high, right))
-        places = defaultdict(list)
-        for j in range(left, right):
-            places[after[j]].append(j)
-        copies = Counter(before[low:high])
-        if sum(n * len(places.get(token, ())) for token, n in copies.items()) <= EXACT_PAIRS:
-            pairs = [(i, j) for i in range(low, high) for j in reversed(places.get(before[i], ()))]
-            kept += _increasing(pairs)
+        a, b = gaps.pop()
+        while len(a) and len(b):
+            n = _same_head(lhs[a], rhs[b])
+            kept += zip(a[:n].tolist(), b[:n].tolist())
+            a, b = a[n:], b[n:]
+            n = _same_head(lhs[a][::-1], rhs[b][::-1])
+            kept += zip(a[len(a) - n :].tolist(), b[len(b) - n :].tolist())
+            a, b = a[: len(a) - n], b[: len(b) - n]
+            here, there = np.isin(lhs[a], rhs[b]), np.isin(rhs[b], lhs[a])
+            if here.all() and there.all():
+                break
+            a, b = a[here], b[there]
+        if not len(a) or not len(b):
             continue
-        single = [
-            (i, places[before[i]][0])
-            for i in range(low, high)
-            if copies[before[i]] == 1 and len(places.get(before[i], ())) == 1
-        ]
-        if single:
-            anchors = _increasing(single)
-            kept += anchors
-            edges = [(low - 1, left - 1), *anchors, (high, right)]
-            gaps += [(a + 1, c, b + 1, d) for (a, b), (c, d) in zip(edges, edges[1:]) if a + 1 < c and b + 1 < d]
+        if len(a) == 1:
+            kept.append((int(a[0]), int(b[0])))
             continue
-        # Only repeated lines are left: the k-th copy may match the k-th copy.
-        seen: Counter = Counter()
-        pairs = []
-        for i in range(low, high):
-            token = before[i]
-            if seen[token] < len(places.get(token, ())):
-                pairs.append((i, places[token][seen[token]]))
-                seen[token] += 1
-        kept += _increasing(pairs)
+        middle = len(a) // 2
+        head = _lengths(lhs[a[:middle]], rhs[b])
+        tail = _lengths(lhs[a[middle:]][::-1], rhs[b][::-1])[::-1]
+        split = int(np.argmax(head + tail))
+        gaps += [(a[:middle], b[:split]), (a[middle:], b[split:])]
     return kept
 
 
@@ -90,5 +99,3 @@ def novel_between(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.D
                 ([i for i in range(len(lhs)) if i not in gone], [j for j in range(len(rhs)) if j not in new])
             )
         yield pd.DataFrame(rows, columns=["lhs", "rhs"])
-
-

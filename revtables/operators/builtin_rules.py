@@ -17,6 +17,9 @@ SINGLE_QUOTED = r"'(?:[^'\\\n]|\\.)*+'"
 CHARACTER = r"'(?:[^'\\\n]|\\[^'\n]+|\\')'"
 # Rest of a header up to its body or statement end; brackets may hold either.
 REST = r"(?:\[[^\]]*\]|[^{};\[])*+"
+# Round brackets that may hold brackets. Loops of groups are possessive throughout: the
+# matcher then needs no stack for each round, so the length of a construct is no limit.
+PARAMETERS = r"\([^(){};]*+(?:\([^(){};]*+\)[^(){};]*+)*+\)"
 BRACES = {"opener": r"\{", "closer": r"\}", "end": ";"}
 
 
@@ -24,7 +27,7 @@ def _rust() -> RuleList:
     public = r"(?:\bpub(?:\s*\([^)]*\))?\s+)?"
     attributes = r"(?:#\[[^\]]*\]\s*)*+"
     function = rf"{attributes}{public}(?:\b(?:default|const|async|unsafe|extern)\s+)*+\bfn\s+({NAME}){REST}"
-    generics = r"(?:\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)?"
+    generics = r"(?:\s*<(?:[^<>]++|<(?:[^<>]++|<[^<>]*+>)*+>)*+>)?"
     of_type = r"((?:(?!\bfor\b|\bwhere\b)[^{};])+?)"
     where = r"\s*(?:\bwhere\b[^{};]*)?"
     attribute_names = (("attr_id", rf"#\[\s*({NAME})\s*[\](=]"),)
@@ -73,7 +76,6 @@ def _csharp() -> RuleList:
     some_modifiers = rf"(?<![\w.]){attributes}(?:\b{modifier}\s+)++"
     statement = r"(?!(?:return|await|throw|else|if|new|in|is|as|case|goto|using|namespace|class|interface|struct|enum|record|delegate|event)\b)"
     of_type = rf"{statement}[A-Za-z_][\w.]*(?:<[^{{}};()]*?>)?(?:\[[,\s]*\])?\??"
-    arguments = r"\((?:[^(){};]|\([^(){};]*\))*\)"
     return RuleList(
         name="csharp",
         separator=".",
@@ -84,14 +86,14 @@ def _csharp() -> RuleList:
         rules=(
             Rule("class", "block", rf"{modifiers}\bclass\s+({NAME})[^{{}};]*"),
             Rule("interface", "block", rf"{modifiers}\binterface\s+({NAME})[^{{}};]*"),
-            Rule("method", "item", rf"{modifiers}{of_type}\s+({NAME})\s*(?:<[^<>]*>)?\s*{arguments}[^{{}};]*"),
+            Rule("method", "item", rf"{modifiers}{of_type}\s+({NAME})\s*(?:<[^<>]*>)?\s*{PARAMETERS}[^{{}};]*"),
             Rule("field", "statement", rf"{some_modifiers}{of_type}\s+({NAME})\s*(?:=(?!>)[^{{}};]*)?", before=";"),
             # With accessors, and with an expression for a body.
             Rule(
                 "property",
                 "block",
                 rf"{some_modifiers}{of_type}\s+({NAME})\s*",
-                before=r"\{\s*(?:\w+\s+)*?(?:get|set|init)\b",
+                before=r"\{\s*(?:\w+\s+){0,8}?(?:get|set|init)\b",
             ),
             Rule("property", "statement", rf"{some_modifiers}{of_type}\s+({NAME})\s*=>[^{{}};]*", before=";"),
             Rule("namespace", "block", rf"\bnamespace\s+({NAME})\s*", before=r"\{"),
@@ -107,13 +109,13 @@ def _c() -> RuleList:
         separator="",
         file_types=("c", "h"),
         start=r"[{};]|\b[A-Za-z_]",
-        mask="|".join([LINE_COMMENT, BLOCK_COMMENT, DOUBLE_QUOTED, CHARACTER, r"(?m:^[ \t]*#(?:[^\n\\]|\\.)*)"]),
+        mask="|".join([LINE_COMMENT, BLOCK_COMMENT, DOUBLE_QUOTED, CHARACTER, r"(?m:^[ \t]*#[^\n\\]*+(?:\\.[^\n\\]*+)*+)"]),
         **BRACES,
         rules=(
             Rule(
                 "function",
                 "block",
-                rf"\b{keyword}[A-Za-z_][\w\s*]*?[\s*](\**{keyword}{NAME}\s*\((?:[^(){{}};]|\([^(){{}};]*\))*\))\s*",
+                rf"\b{keyword}[A-Za-z_][\w\s*]*?[\s*](\**{keyword}{NAME}\s*{PARAMETERS})\s*",
                 before=r"\{",
             ),
             # Stands for a struct on its own and for one that declares variables.
@@ -157,7 +159,7 @@ def _ocaml() -> RuleList:
 def _toml() -> RuleList:
     key = r"[A-Za-z0-9_-]+"
     value = (
-        r'(?:""".*?"""|\'\'\'.*?\'\'\'|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{[^}]*\}|[^\n]*?)(?=[ \t\r]*(?:\n|\z))'
+        r'(?:""".*?"""|\'\'\'.*?\'\'\'|\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]|\{[^}]*\}|[^\n]*?)(?=[ \t\r]*(?:\n|\z))'
     )
     return RuleList(
         name="toml",
@@ -198,7 +200,7 @@ def _lua() -> RuleList:
             Rule("function", "nested", rf"\b(?:local\s+)?function\s+[\w.]+:({NAME})\s*", before=r"\("),
             Rule("function", "nested", rf"\b(?:local\s+)?function\s+(?:[\w.]+\.)?({NAME})\s*", before=r"\("),
             # Stands for a field of a table constructor and for an assignment.
-            Rule("function", "nested", rf"(?<![\w.])(?:{NAME}\.)*({NAME})\s*=\s*function\b"),
+            Rule("function", "nested", rf"(?<![\w.])(?:{NAME}\.)*+({NAME})\s*=\s*function\b"),
         ),
     )
 
@@ -206,7 +208,6 @@ def _lua() -> RuleList:
 CALLS = r"(?!(?:if|for|while|switch|catch|with|function|return|await|super|constructor\s*$)\b)"
 SCRIPT_MASK = "|".join([LINE_COMMENT, BLOCK_COMMENT, DOUBLE_QUOTED, SINGLE_QUOTED, r"`(?:[^`\\]|\\.)*+`"])
 FUNCTION = rf"\b(?:async\s+)?function\s+({NAME})[^{{}};]*"
-PARAMETERS = r"\((?:[^(){};]|\([^(){};]*\))*\)"
 
 
 def _script_method(modifiers: str, result: str) -> str:
@@ -262,7 +263,7 @@ def _go() -> RuleList:
             Rule(
                 "const",
                 "match",
-                rf"\bconst\s*\((?:[^()]|\([^()]*\))*\)|\bconst\s+{NAME}[^\n]*",
+                rf"\bconst\s*\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)|\bconst\s+{NAME}[^\n]*",
                 each=rf"(?md)^\s*(?:const\b\s*\(?\s*)?({NAME})[^\n]*$",
             ),
             Rule("interface", "block", rf"\btype\s+({NAME})\s+interface\s*"),

@@ -247,7 +247,8 @@ def rule_matches(files: DataFrame, lists: list[RuleList]) -> DataFrame:
         # Value end: the last token before the separator that closes the pair.
         top_separator = ((F.col("token") == ",") & (F.col("depth") == 1)) | ((F.col("delta") == -1) & (F.col("depth") == 0))
         before = F.when(top_separator, F.lag("here").over(order))
-        rest = order.rowsBetween(1, Window.unboundedFollowing)
+        # From the last token back, so that each row takes one step.
+        rest = Window.partitionBy(*FILE).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
         first = Window.partitionBy(*FILE)
         marked = (
             marked.withColumn("_before", before)
@@ -256,7 +257,9 @@ def rule_matches(files: DataFrame, lists: list[RuleList]) -> DataFrame:
         )
     if "file" in families:
         marked = marked.withColumn("file_end", F.max("here").over(Window.partitionBy(*FILE)))
-    rows = marked.select("*", F.posexplode("candidates").alias("nth", "c"))
+    # A token of many candidates must not go along with each of them.
+    carried = [c for c in marked.columns if c not in ("token", "gap", "candidates")]
+    rows = marked.select(*carried, F.posexplode("candidates").alias("nth", "c"))
     family = F.col("c.family")
     end = (
         F.when(family.isin("block", "item") & F.col("next_opens"), F.col("next_close"))

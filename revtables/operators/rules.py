@@ -157,6 +157,18 @@ def group_count(regex: Column) -> Column:
     return F.size(F.regexp_extract_all(plain, F.lit(r"(\((?:[^?]|$))"), F.lit(1)))
 
 
+def has_open_loop(regex: Column) -> Column:
+    """Whether a group with alternatives is repeated without being possessive.
+
+    The matcher takes stack for every round of such a loop, so a long construct ends the
+    whole executor; with ``*+``, ``++`` or ``{n,m}+`` it does not.
+    """
+    plain = F.regexp_replace(F.regexp_replace(regex, r"\\.", "_"), r"\[\^?\]?[^\]]*\]", "_")
+    flat = F.regexp_replace(plain, r"\([^()|]*\)(?:[*+?]|\{[0-9,]*\})?[+?]?", "_")
+    flat = F.regexp_replace(flat, r"\([^()|]*\)(?:[*+?]|\{[0-9,]*\})?[+?]?", "_")
+    return flat.rlike(r"\([^()]*\|[^()]*\)(?:[*+]|\{[0-9]*,[0-9]*\})(?!\+)")
+
+
 def verify_rules(rules: DataFrame) -> DataFrame:
     """One row (list, rule_no, problem) for every mistake in a rules table."""
     groups = group_count(F.col("header_regex"))
@@ -164,6 +176,7 @@ def verify_rules(rules: DataFrame) -> DataFrame:
         F.array(
             F.when(F.length("header_regex") == 0, "empty header"),
             F.when(~F.col("family").isin(*FAMILIES), "unknown family"),
+            F.when(has_open_loop(F.col("header_regex")), "group loop that is not possessive"),
             F.when(F.size("identifier_groups") == 0, "no identifier"),
             F.when(F.exists("identifier_groups", lambda g: g > groups), "unknown identifier group"),
             F.when(

@@ -4,7 +4,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from revtables.operators import alignment
 from revtables.operators import line_diff as ld
 from revtables.operators.alignment import align
 
@@ -39,14 +38,16 @@ def test_small_lists_are_aligned_best(a, b):
     assert len(kept) == lcs_length(a, b)
 
 
-@settings(max_examples=200, deadline=None)
-@given(LINES, LINES)
-def test_alignment_without_exact_search_is_valid(a, b):
-    limit, alignment.EXACT_PAIRS = alignment.EXACT_PAIRS, 3
-    try:
-        check_alignment(a, b, align(a, b))
-    finally:
-        alignment.EXACT_PAIRS = limit
+@pytest.mark.parametrize("lines", [850, 950, 1200, 20_000])
+def test_repeated_lines_are_aligned_best_at_every_size(lines):
+    rng = random.Random(lines)
+    a = [rng.choice(["{", "}", "", "  end"]) for _ in range(lines)]
+    b = list(a)
+    for _ in range(5):
+        b.insert(rng.randrange(len(b)), rng.choice(["{", "}", "new"]))
+    kept = align(a, b)
+    check_alignment(a, b, kept)
+    assert len(kept) == lines
 
 
 def test_large_lists_with_moved_blocks():

@@ -202,3 +202,29 @@ def test_innermost_region_at_a_point(spark):
     )
     got = {r.point_id: r.qualifiers for r in regions_at(points, found, ["oid"]).collect()}
     assert got == {0: "a", 1: "a::b", 2: "a::b", 3: "a"}
+
+
+# One construct of each list, as long as wanted: a function of its size in parts.
+LONG = {
+    "rust": lambda n: "fn f(" + "a: u8, " * n + ") { }\nimpl<" + "T, " * n + "> X { }\nconst A: u8 = [" + "1, " * n + "];\n",
+    "csharp": lambda n: "class K { void F(" + "int a, " * n + ") { } int P { " + "x " * n + "get; } }\n",
+    "c": lambda n: "#define A " + "x \\\n" * n + "\nint f(" + "int a, " * n + ") { }\n",
+    "ocaml": lambda n: "(* " + "x * " * n + " *)\nlet f " + "a " * n + "= a\n",
+    "toml": lambda n: "[t]\na = [" + "1, " * n + "]\nb = [" + "[1], " * n + "]\n",
+    "json": lambda n: '{"a": [' + "1, " * n + "2]}",
+    "lua": lambda n: "a." * n + "b = function() end\nfunction g(" + "a, " * n + "b) end\n",
+    "typescript": lambda n: "class K { m(" + "a, " * n + ") { } }\nfunction f(" + "a, " * n + ") { }\n",
+    "javascript": lambda n: "class K { m(" + "a, " * n + "(b)) { } }\n",
+    "go": lambda n: "const (\n" + "\tA = 1\n" * n + ")\nfunc f(" + "a int, " * n + ") { }\n",
+}
+
+
+@pytest.mark.parametrize("language", sorted(LONG))
+def test_long_constructs_of_each_language(spark, language):
+    lists = [r for r in default_rule_lists() if r.name == language]
+    sizes = {"short": 3, "long": 300 if language == "go" else 3000}
+    df = spark.createDataFrame(
+        [(k, language, bytearray(LONG[language](n).encode())) for k, n in sizes.items()], "oid string, list string, content binary"
+    )
+    found = {(r.oid, r.kind) for r in extract_regions(df, lists).collect()}
+    assert {k for o, k in found if o == "long"} == {k for o, k in found if o == "short"} != set()

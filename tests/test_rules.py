@@ -38,20 +38,14 @@ def test_default_lists_are_sound(spark):
 
 def test_paths_find_their_list(spark):
     mine = parse_rule_list("mine", GOOD)
-    paths = ["test.h", "/cli/src.long-name-ending-with-rs", "different.json", "./cli/src/main.rs", "package.json", "rs", ".rs", "a/b.txt"]
-    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    wanted = {
+        "lib/core.rs": "rust", "deep/er/than.that/mod.rs": "rust", "core.rss": None, "cores": None, "src.rs/readme": None,
+        "notes.txt": "mine", "x/package.json": "mine", "my-package.json": None, "package.json.bak": None, "": None,
+    }
+    df = spark.createDataFrame([(p,) for p in wanted], "path string")
     only_rust = [r for r in default_rule_lists() if r.name == "rust"]
     got = {r.path: r.list for r in df.select("path", rule_list_of(F.col("path"), [*only_rust, mine]).alias("list")).collect()}
-    assert got == {
-        "test.h": None,
-        "/cli/src.long-name-ending-with-rs": None,
-        "different.json": None,
-        "./cli/src/main.rs": "rust",
-        "package.json": "mine",
-        "rs": None,
-        ".rs": None,
-        "a/b.txt": "mine",
-    }
+    assert got == wanted
     first = df.select(rule_list_of(F.lit("package.json"), [*default_rule_lists(), mine]).alias("list")).first()
     assert first.list == "json"
 
@@ -87,6 +81,8 @@ def test_mistakes_are_found(spark):
         ("l", 0, 1, "block", "k", "", [], [], [], False),
         ("l", 0, 2, "tree", "k", r"\(a(?:b)", [1], [], [], False),
         ("l", 0, 3, "block", "k", "(a)", [1], ["x"], [("y", "is", "v")], False),
+        ("l", 0, 4, "block", "k", r"(a)\((?:[^()]|\([^()|]*\))*\)", [1], [], [], False),
+        ("l", 0, 5, "block", "k", r"(a)\((?:[^()]|\([^()|]*\))*+\)[(|)]*", [1], [], [], False),
     ]
     got = {(r.rule_no, r.problem) for r in verify_rules(spark.createDataFrame(rows, schema)).collect()}
     assert got == {
@@ -96,4 +92,5 @@ def test_mistakes_are_found(spark):
         (2, "unknown identifier group"),
         (3, "unknown capture"),
         (3, "unknown operator"),
+        (4, "group loop that is not possessive"),
     }
