@@ -42,7 +42,7 @@ def with_previous(
     position before, found by an equi-join on positions, which are spread evenly
     however many rows one key has.
     """
-    placed = cut_lineage(with_position(df, [F.col(c) for c in keys + order], "_position"))
+    placed = with_position(df, [F.col(c) for c in keys + order], "_position")
     earlier = placed.select(
         (F.col("_position") + 1).alias("_position"),
         *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],

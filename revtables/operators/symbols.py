@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revtables.operators.regions import regions_at
 from revtables.schema import SYMBOL
+from revtables.session import cut_lineage
 
 
 SYMBOL_STRUCT = "struct<kind:string,qualifiers:string,file_path:string>"
@@ -93,7 +94,8 @@ def resolve_symbols(changes: DataFrame, filters: DataFrame) -> DataFrame:
     where exactly one fits. Filters are grouped by which columns they give, so each
     group is an equi-join with symbols already counted by those columns.
     """
-    symbols = changes.select(*SYMBOL).distinct()
+    # Written once, so that the groups of filters do not each scan the change table.
+    symbols = cut_lineage(changes.select(*SYMBOL).distinct())
     parts = []
     for given in product([True, False], repeat=len(SYMBOL)):
         keys = [name for name, is_given in zip(SYMBOL, given) if is_given]
