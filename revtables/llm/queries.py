@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revtables.llm import chat, html_text, mixing, pii, quality_rules, suffix_dedup, toxicity, warc
+from revtables.llm import chat, html_text, mixing, pii, quality_rules, sql, suffix_dedup, toxicity, warc
 from revtables.llm.decontamination import is_contaminated, n_hit, search_items
 from revtables.llm.near_duplicates import near_duplicates
 from revtables.session import cut_lineage
@@ -123,4 +123,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = sql.ORACLES
