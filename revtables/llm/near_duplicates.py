@@ -39,7 +39,7 @@ SHARED = 8
 #: Sets of a list that meet in one task at a time.
 BLOCK = 500
 #: Of those, longer signatures of one byte a coordinate are compared, a short part first.
-LONG, QUICK = 512, 128
+LONG, QUICK = 256, 128
 
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
@@ -80,6 +80,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def long_signature(shingles: np.ndarray) -> np.ndarray:
+    """One byte of each of ``LONG`` other minima."""
+    best = np.full(LONG, 0xFFFFFFFF, np.uint32)
+    low = shingles.astype(np.uint32)
+    for i in range(0, len(low), 2048):
+        best = np.minimum(best, (low[i : i + 2048, None] * _LONG_FACTORS + _LONG_SHIFTS).min(axis=0))
+    return (best >> np.uint32(4)).astype(np.uint8)
+
+
 def _sets_of(text: pa.Array, size: int) -> Iterator[np.ndarray]:
     data, offsets = utf8(text)
     for a, z in slices(offsets):
@@ -91,19 +100,20 @@ def _set_id(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (of equal sets) and signature of each (doc_id, text)."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_id binary, signature binary"
+    """doc_id, n_shingles, set_id (of equal sets) and both signatures of each (doc_id, text)."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_id binary, signature binary, long binary"
 
     def run(batches):
         for batch in batches:
-            sizes, ids, signs = [], [], []
+            sizes, ids, signs, long = [], [], [], []
             for shingles in _sets_of(batch.column("text"), size):
                 sizes.append(len(shingles))
                 ids.append(_set_id(shingles) if len(shingles) else None)
                 signs.append(signature(shingles).tobytes() if len(shingles) else None)
+                long.append(long_signature(shingles).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "signature"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (ids, signs, long))],
+                ["doc_id", "n_shingles", "set_id", "signature", "long"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -151,31 +161,12 @@ def _postings(sets: DataFrame, frequent: dict[int, int], prefix: int) -> DataFra
                 seen = np.where(known[at] == keys, times[at], 0)
             order = np.lexsort((keys, seen), axis=1)[:, :prefix]
             ids = batch.column("set_id").take(pa.array(np.repeat(np.arange(len(keys)), prefix)))
+            rank = pa.array(np.tile(np.arange(prefix, dtype=np.int8), len(keys)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.take_along_axis(keys, order, 1).ravel()), ids], ["key", "set_id"]
-            )
-
-    return sets.select("set_id", "signature").mapInArrow(run, "key long, set_id binary")
-
-
-def _long_signatures(full: DataFrame) -> DataFrame:
-    """set_id, one byte of each of ``LONG`` minima, and the number of shingles."""
-
-    def run(batches):
-        for batch in batches:
-            long, sizes = [], []
-            for shingles in batch.column("shingles"):
-                low = np.frombuffer(shingles.as_buffer(), np.uint64).astype(np.uint32)
-                best = np.full(LONG, 0xFFFFFFFF, np.uint32)
-                for i in range(0, len(low), 1024):
-                    best = np.minimum(best, (low[i : i + 1024, None] * _LONG_FACTORS + _LONG_SHIFTS).min(axis=0))
-                long.append((best >> np.uint32(4)).astype(np.uint8).tobytes())
-                sizes.append(len(low))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("set_id"), pa.array(long, pa.binary()), pa.array(sizes, pa.int64())], ["set_id", "long", "n_shingles"]
+                [pa.array(np.take_along_axis(keys, order, 1).ravel()), ids, rank], ["key", "set_id", "rank"]
             )
 
-    return full.mapInArrow(run, "set_id binary, long binary, n_shingles long")
+    return sets.select("set_id", "signature").mapInArrow(run, "key long, set_id binary, rank byte")
 
 
 def _meet_in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
@@ -193,7 +184,7 @@ def _meet_in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
-        .drop("blocks", "n", "other")
+        .drop("blocks", "n", "rank", "other")
     )
     quick, least = agreeing(similarity, QUICK), agreeing(similarity, LONG)
 
@@ -264,7 +255,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     sets = cut_lineage(
         rows.where("set_id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("long").alias("long"))
     )
 
     times = cut_lineage(_key_rows(sets).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -276,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         shared = lists.groupBy("set_id").agg(F.count("*").alias("of_set")).where(F.col("of_set") >= SHARED)
         lists = lists.join(shared.select("set_id"), "set_id", "left_semi")
         lengths = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        lists = cut_lineage(lists.join(lengths, "key").select("key", "set_id", "n"))
+        lists = cut_lineage(lists.join(lengths, "key").select("key", "set_id", "rank", "n"))
         lists, long_lists = lists.drop("n"), lists
     lists = long_lists
     central = lists.groupBy("set_id").agg(F.sum("n").alias("weight"))
@@ -299,14 +290,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         in_parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high").select("key")
     )
-    open_lists = cut_lineage(in_parts.join(split, "key", "left_semi"))
-    ids = open_lists.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).distinct()
-    full = _read_sets(ids, sets, docs, shingle_words)
+    # sets that share SHARED lists of the whole prefix share one without the last lists of each
+    open_lists = cut_lineage(in_parts.where(F.col("rank") <= prefix - SHARED).join(split, "key", "left_semi"))
     keys = open_lists.groupBy("set_id").agg(F.collect_list("key").alias("keys"))
-    rows_of = open_lists.join(_long_signatures(full).join(keys, "set_id"), "set_id")
+    rows_of = open_lists.join(sets.select("set_id", "long", "n_shingles").join(keys, "set_id"), "set_id")
     rest = cut_lineage(_meet_in_blocks(rows_of, percent / 100).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = cut_lineage(links.unionByName(_confirmed(rest, full, percent)))
+        links = cut_lineage(links.unionByName(_confirmed(rest, _read_sets(rest, sets, docs, shingle_words), percent)))
         found = components(links)
 
     named = sets.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", member)
