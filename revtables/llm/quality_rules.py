@@ -59,13 +59,17 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _buckets(hashes: Column) -> Column:
+def _word_buckets(hashes: Column) -> Column:
+    return F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("short"))
+
+
+def _buckets(of_words: Column) -> Column:
     """The bucket of every word, and above those the bucket of every pair of words."""
     pairs = F.transform(
-        _positions(F.size(hashes), 2),
-        lambda i: F.pmod(F.xxhash64(hashes[i], hashes[i + 1]), F.lit(BUCKETS)).cast("int") + BUCKETS,
+        _positions(F.size(of_words), 2),
+        lambda i: F.pmod(F.xxhash64(of_words[i], of_words[i + 1]), F.lit(BUCKETS)).cast("int") + BUCKETS,
     )
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")), pairs)
+    return F.concat(F.transform(of_words, lambda w: w.cast("int")), pairs)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
@@ -74,9 +78,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING
     ``docs``: doc_id, text; ``trusted``: doc_id of trusted ones. Every text counts. Without
     trusted texts all ratios are 0.
     """
-    named = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("one", F.lit(1))
-    rows = docs.select("doc_id", "text").join(named, "doc_id", "left")
-    found = rows.select(F.coalesce("one", F.lit(0)).alias("one"), F.explode(_bound(_hashes(_text()), _buckets)).alias("bucket"))
+    # Trusted texts have no bound, so their ids are never broadcast; buckets move, not texts.
+    named = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("one", F.lit(1)).hint("merge")
+    rows = docs.select("doc_id", _word_buckets(_hashes(_text())).alias("words")).join(named, "doc_id", "left")
+    found = rows.select(F.coalesce("one", F.lit(0)).alias("one"), F.explode(_bound(F.col("words"), _buckets)).alias("bucket"))
     counts = found.groupBy("bucket").agg(F.sum("one").alias("t"), F.count("*").alias("r")).collect()
     target, raw = [smoothing] * (2 * BUCKETS), [smoothing] * (2 * BUCKETS)
     for row in counts:
@@ -110,7 +115,7 @@ def with_verdict(docs: DataFrame, ratios: list[float], keep_from: float = KEEP_F
         F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda a, k: a + table[k]) / F.size(b)
     ).otherwise(F.lit(0.0))
     of_words = lambda h: F.struct(
-        F.size(h).cast("long").alias("n_words"), _repeat_words(h).cast("long").alias("n_repeat_words"), _bound(_buckets(h), mean).alias("log_ratio")
+        F.size(h).cast("long").alias("n_words"), _repeat_words(h).cast("long").alias("n_repeat_words"), _bound(_bound(_word_buckets(h), _buckets), mean).alias("log_ratio")
     )
     measured = docs.drop("quality").withColumn(
         "quality",
