@@ -9,7 +9,7 @@ Only cells, never documents, take part in the rounds, and all of it is DataFrame
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revtables.session import cut_lineage
@@ -19,7 +19,7 @@ MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.3}
 ROUNDS = 8
 #: Rounds between two written tables, so that a plan stays short.
-ROUNDS_A_TABLE = 2
+ROUNDS_A_TABLE = 4
 #: Rounds in which cells that must be taken whole are set aside, at most.
 CAP_ROUNDS = 40
 #: Expected tokens of the sample, as a share of all.
@@ -55,10 +55,8 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
     shares = cut_lineage(shares)
     for i in range(rounds):
         for m in powers:
-            sums = shares.groupBy(F.col(m).alias("_value")).agg(F.sum("weight").alias("_now"))
-            shares = shares.join(sums, F.col(m).eqNullSafe(F.col("_value"))).drop("_value")
-            fitted = F.when(F.col("_now") > 0, F.col("weight") / F.col("_now") * F.col(f"_{m}")).otherwise(0.0)
-            shares = shares.withColumn("weight", fitted).drop("_now")
+            now = F.sum("weight").over(Window.partitionBy(m))
+            shares = shares.withColumn("weight", F.when(now > 0, F.col("weight") / now * F.col(f"_{m}")).otherwise(0.0))
         if (i + 1) % ROUNDS_A_TABLE == 0:
             shares = cut_lineage(shares)
     return shares.select(*[c for c in cells.columns], "weight")
