@@ -48,9 +48,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled documents with the weight and probability they were drawn with."""
-    out = mixing.mixed(docs).where("sampled").drop("sampled")
-    return out.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
+    """The documents of the sample, each with its copies in it and the weight they were drawn with.
+
+    ``expected`` is the mean of ``copies``, and ``probability`` that of being in the sample at all.
+    """
+    out = mixing.repeated(docs).where("copies > 0").withColumn("probability", F.least(F.lit(1.0), "expected"))
+    return out.withColumns({c: F.round(c, 9) for c in ("weight", "expected", "probability")})
 
 
 STAGES = [

@@ -88,6 +88,21 @@ def probabilities(cells: DataFrame, rate: float = RATE) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * scale)).drop("ratio")
 
 
+def _with_topic(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n_tokens"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return cut_lineage(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+
+
+def _of_cell(rows: DataFrame, fitted: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the columns of their cell."""
+    fitted = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], *columns)
+    same = [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in MARGINS]
+    return rows.join(fitted, same[0] & same[1] & same[2])
+
+
 def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability and sampled of each document.
 
@@ -95,12 +110,31 @@ def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
     fitted weight of the document's cell. Null margins are values of their own; documents
     without words have no weight and are not sampled. Repeated rows draw alike.
     """
-    rows = docs.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n_tokens"))
-    cells = cut_lineage(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    fitted = cut_lineage(probabilities(rake(cells, powers, rounds), rate)).select(
-        *[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", "probability"
-    )
-    same = [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in MARGINS]
-    out = rows.join(fitted, same[0] & same[1] & same[2])
+    rows = _with_topic(docs)
+    fitted = cut_lineage(probabilities(rake(_cells(rows), powers, rounds), rate))
+    out = _of_cell(rows, fitted, "weight", "probability")
     sampled = (F.col("n_tokens") > 0) & (draw(F.col("doc_id")) < F.col("probability"))
     return out.select("doc_id", *MARGINS, "n_tokens", "weight", "probability", sampled.alias("sampled"))
+
+
+def repeats(cells: DataFrame, rate: float = RATE) -> DataFrame:
+    """``cells`` (margins, tokens, weight) and how often a document of each is expected in the sample.
+
+    Nothing stops at 1, so the expected tokens of a cell are its weight's share of the budget.
+    """
+    budget = F.col("all") * F.lit(float(rate))
+    expected = F.when(F.col("tokens") > 0, F.col("weight") * budget / F.col("tokens")).otherwise(0.0)
+    return cells.join(F.broadcast(cells.agg(F.sum("tokens").alias("all")))).withColumn("expected", expected).drop("all")
+
+
+def repeated(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, expected and copies of each document.
+
+    As :func:`mixed`, but a document may stand in the sample more than once: ``copies`` times,
+    the whole part of ``expected`` and one more if the draw of its id is below the rest.
+    """
+    rows = _with_topic(docs)
+    out = _of_cell(rows, cut_lineage(repeats(rake(_cells(rows), powers, rounds), rate)), "weight", "expected")
+    whole = F.floor("expected")
+    copies = F.when(F.col("n_tokens") > 0, whole + (draw(F.col("doc_id")) < F.col("expected") - whole).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out.select("doc_id", *MARGINS, "n_tokens", "weight", "expected", copies.alias("copies"))

@@ -81,6 +81,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
 
 
+def op7_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.repeated(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 9) for c in ("weight", "expected")})
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = cut_lineage(warc.write_archives(warc.with_first(table(spark, sf_dir, "pages"))))
     read = warc.read_archives(archives)
@@ -119,6 +124,7 @@ QUERIES = {
     "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mixing": op7_mixing,
+    "op7_mixing_copies": op7_mixing_copies,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
