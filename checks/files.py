@@ -190,6 +190,11 @@ def hunks(spark: SparkSession, sf: str) -> DataFrame:
     return lines.hunks(lines.line_diff(pairs.where(all_different)), DOCUMENT)
 
 
+def hunks_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Hunks of all documents, also those with repeated lines; SQL cannot follow the choice among best alignments."""
+    return lines.hunks(lines.line_diff(fx.document_pairs(spark, sf)), DOCUMENT)
+
+
 def rebuilt_by_edits(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and conversation revisions put together again from their byte edits.
 
@@ -207,18 +212,24 @@ def rebuilt_by_edits(spark: SparkSession, sf: str) -> DataFrame:
     return rebuilt.select("commit_id", (F.col("rebuilt") == F.col("after")).alias("same"))
 
 
-def shifted_edits(spark: SparkSession, sf: str) -> DataFrame:
-    """Start of each edit after the earlier ones, on documents with one best alignment."""
-    text = split_lines(F.col("before").cast("string"))
-    pairs = cut_lineage(
-        fx.document_pairs(spark, sf).where(F.size(F.array_distinct(text)) == F.size(text))
-    )
+def shifted_edits_of(pairs: DataFrame) -> DataFrame:
     edits = lines.byte_edits(pairs, lines.line_diff(pairs), DOCUMENT)
     return edits.where("edit = 'hunk'").select(
         "doc_id", "new_start_byte", "shifted_start_byte", (F.col("new_end_byte") - F.col("new_start_byte")).alias("bytes")
     )
 
 
+def shifted_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Start of each edit after the earlier ones, on documents with one best alignment."""
+    text = split_lines(F.col("before").cast("string"))
+    return shifted_edits_of(cut_lineage(fx.document_pairs(spark, sf).where(F.size(F.array_distinct(text)) == F.size(text))))
+
+
+def shifted_edits_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same on all documents, also those with repeated lines; without SQL as for hunks_of_all."""
+    return shifted_edits_of(cut_lineage(fx.document_pairs(spark, sf)))
+
+
 def _document_diff(spark: SparkSession, sf: str, include_children: bool = False) -> DataFrame:
     blobs = fx.document_blobs(spark, sf, fx.BEFORE, fx.AFTER)
     before, after = fx.snapshot(spark, sf, fx.BEFORE), fx.snapshot(spark, sf, fx.AFTER)
@@ -334,8 +345,10 @@ QUERIES = {
         line_diff_counts,
         line_diff_laws,
         hunks,
+        hunks_of_all,
         rebuilt_by_edits,
         shifted_edits,
+        shifted_edits_of_all,
         diff_symbols,
         diff_symbols_json,
         diff_report,

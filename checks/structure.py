@@ -93,20 +93,31 @@ def page_containment(spark: SparkSession, sf: str) -> DataFrame:
     return held.groupBy(_page(), "seq", "kind").agg(F.count("*").alias("inside"))
 
 
-def page_symbols_json(spark: SparkSession, sf: str) -> DataFrame:
+def _page_symbols(spark: SparkSession, sf: str) -> DataFrame:
     files = fx.page_files(spark, sf)
     paths = files.select(F.concat(F.col("oid").cast("string"), F.lit(".html")).alias("file_path"), "oid", "list")
-    symbols = symbols_of_paths(paths, files, [fx.HTML]).where(F.size("ranges") == 1)
+    return symbols_of_paths(paths, files, [fx.HTML])
+
+
+def _bytes_json(symbols: DataFrame) -> DataFrame:
     short = symbols.withColumn(
         "ranges", F.transform("ranges", lambda r: F.struct(r["start_byte"].alias("start_byte"), r["end_byte"].alias("end_byte")))
     )
     return reports.symbol_json(short)
 
 
+def page_symbols_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of one range."""
+    return _bytes_json(_page_symbols(spark, sf).where(F.size("ranges") == 1))
+
+
+def page_symbols_json_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All symbols, with every range of each."""
+    return _bytes_json(_page_symbols(spark, sf))
+
+
 def page_symbol_lines(spark: SparkSession, sf: str) -> DataFrame:
-    files = fx.page_files(spark, sf)
-    paths = files.select(F.concat(F.col("oid").cast("string"), F.lit(".html")).alias("file_path"), "oid", "list")
-    return reports.symbol_lines(symbols_of_paths(paths, files, [fx.HTML]))
+    return reports.symbol_lines(_page_symbols(spark, sf))
 
 
 def page_filters(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,6 +283,7 @@ QUERIES = {
         page_kinds,
         page_containment,
         page_symbols_json,
+        page_symbols_json_of_all,
         page_symbol_lines,
         page_filters,
         line_regions,
@@ -336,6 +348,12 @@ ON o.page_id = i.page_id AND o.seq <> i.seq AND o.start_byte <= i.start_byte AND
         body="""SELECT CAST(json_object('kind', kind, 'qualifiers', qualifiers, 'file_path', page_id || '.html', 'ranges',
 [{'start_byte': any_value(start_byte), 'end_byte': any_value(end_byte)}]) AS VARCHAR) AS json
 FROM named GROUP BY page_id, kind, qualifiers HAVING count(*) = 1""",
+    ),
+    "page_symbols_json_of_all": with_(
+        PAGES,
+        body="""SELECT CAST(json_object('kind', kind, 'qualifiers', qualifiers, 'file_path', page_id || '.html', 'ranges',
+list({'start_byte': start_byte, 'end_byte': end_byte} ORDER BY seq)) AS VARCHAR) AS json
+FROM named GROUP BY page_id, kind, qualifiers""",
     ),
     "page_symbol_lines": with_(
         PAGES, body="SELECT kind || ' ' || qualifiers || ' ' || page_id || '.html' AS line FROM regions"
