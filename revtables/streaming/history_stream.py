@@ -82,6 +82,10 @@ def _last_revisions(spark: SparkSession, state: str, before_batch: int) -> DataF
     return _newest(compacted.unionByName(recent))
 
 
+class LateRevision(ValueError):
+    """A revision came after a later one of its path was taken in by an earlier batch."""
+
+
 def revision_stream(
     stream: DataFrame,
     blobs: Callable[[], DataFrame],
@@ -97,7 +101,8 @@ def revision_stream(
     per batch and now and then one for all paths. A batch reads the folders before
     its own and overwrites its own, which makes a repeated batch give the same rows.
     Revisions of one path must arrive in order across batches; inside a batch any
-    order will do.
+    order will do. A late one ends the stream with :class:`LateRevision` before the
+    batch writes anything, as its successor's stored rows would have to be replaced.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -105,6 +110,11 @@ def revision_stream(
         rows = cut_lineage(batch)
         touched = rows.select("path").distinct()
         last = _last_revisions(spark, state, batch_id).join(touched, "path", "left_semi")
+        known = last.select("path", F.col("revision").alias("_revision"), F.col("oid").alias("_oid"))
+        same = (F.col("revision") == F.col("_revision")) & F.col("oid").eqNullSafe(F.col("_oid"))
+        late = rows.join(known, "path").where((F.col("revision") <= F.col("_revision")) & ~same).first()
+        if late is not None:
+            raise LateRevision(f"revision {late['revision']} of {late['path']} came after revision {late['_revision']}; build the history anew")
         id_type = rows.schema["commit_id"].dataType
         earlier = last.select(F.lit(None).cast(id_type).alias("commit_id"), "path", "revision", "oid")
         log = rows.select("commit_id", "path", F.col("revision").cast("long").alias("revision"), "oid")
