@@ -153,7 +153,7 @@ def layouts(page: str, seed: int, number: int) -> list[list[Node]]:
     if marked:
         for node in nodes:
             above = nodes[node.parent].label == 1 if node.parent >= 0 else False
-            node.label = int(above and node.tag not in ("nav", "aside", "footer", "form") or node.tag in ("article", "main"))
+            node.label = int(above and node.tag not in ("nav", "aside", "footer", "form", "button", "select", "datalist") or node.tag in ("article", "main"))
         out.append(nodes)
     blocks = [n.text for n in nodes if n.tag == "#text" and (n.label == 1 if marked else len(n.text) >= 60)]
     if not blocks:

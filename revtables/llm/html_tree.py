@@ -7,10 +7,18 @@ import re
 
 # Elements of the HTML standard by how they take part in a page's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template noscript iframe svg math button select datalist".split())
+RAW = frozenset("script style textarea title template".split())
+#: A raw element that is not closed hides the rest of the page if it is one of these; others hide nothing.
+HIDES_REST = frozenset({"script", "style"})
 INLINE = frozenset(
-    "a abbr b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split()
+    "a abbr b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del "
+    "math annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+#: What may stand in head; the first other tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript".split()) | RAW
+#: These stand inside a paragraph and do not end it, nor does what is in them.
+EMBEDDED = frozenset("svg noscript iframe button select datalist".split())
 #: An opening tag ends an open element of these, up to the nearest element that bounds them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -37,7 +45,8 @@ class Node:
 def parse(page: str) -> list[Node]:
     """The nodes of a page in document order; node 0 is the root.
 
-    Void and raw elements, comments and everything in head are left out. Inline elements
+    Void and raw elements, comments and what may stand in head are left out; head ends at
+    its end tag, or at the first tag or text that cannot stand in it. Inline elements
     are no nodes: their text belongs to the block around them. A block is the text between
     two bounds of other elements, character references decoded, white space made one space.
     Elements that are not closed end with their parent, or where a next one must end them.
@@ -70,15 +79,16 @@ def parse(page: str) -> list[Node]:
         del stack[to:]
         inline.clear()
 
-    at, in_head = 0, False
+    at, in_head, began = 0, False, False
     while at < len(page):
         token = TOKEN.search(page, at)
+        text = page[at : token.start() if token else len(page)]
+        if text.strip():
+            in_head, began = False, True
+        if not in_head:
+            add(text)
         if token is None:
-            if not in_head:
-                add(page[at:])
             break
-        if not in_head:
-            add(page[at : token.start()])
         at = token.end()
         end, tag, rest = (token[1], token[2], token[3]) if token[2] else (token[4], token[5], token[6])
         if not tag:
@@ -87,16 +97,18 @@ def parse(page: str) -> list[Node]:
         if tag in RAW and not end:
             if not rest.endswith("/"):
                 closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-                at = closing.end() if closing else len(page)
+                if closing or tag in HIDES_REST:
+                    at = closing.end() if closing else len(page)
             if tag not in INLINE:
                 flush()
             continue
         if tag == "head":
-            in_head = not end
+            in_head = not end and not began
             continue
-        if in_head and tag != "body":
+        if in_head and (tag in IN_HEAD or end and tag not in ("body", "html", "br")):
             continue
         in_head = False
+        began = began or tag != "html"
         if tag == "br" or tag == "wbr" or tag == "img":
             parts.append((" " if tag == "br" else "", False))
             continue
@@ -121,6 +133,8 @@ def parse(page: str) -> list[Node]:
         upto = None
         for k in range(len(stack) - 1, 0, -1):
             name = nodes[stack[k]].tag
+            if tag in EMBEDDED or name in EMBEDDED:
+                break
             if name in ended or name == "p":
                 upto = k
             elif name in bounds:
