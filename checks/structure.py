@@ -160,7 +160,7 @@ def line_region_checksums(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines_in_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fourth line of a document, and one past its end, tested against each region."""
+    """Lines 0, 4 and 8 of a document, and points past an end, tested against each region."""
     found = _line_regions(spark, sf)
     return found.select(
         _doc(),
@@ -171,6 +171,15 @@ def lines_in_regions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def every_fourth_line_in_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth line of a document up to one past its end, with the regions that hold it."""
+    n_lines = F.size(F.split(F.decode("content", "ISO-8859-1"), "\n", -1))
+    counts = fx.document_files(spark, sf).select("oid", F.explode(F.sequence(F.lit(0), n_lines + 3, F.lit(4))).alias("line"))
+    counts = counts.withColumn("line", F.col("line").cast("long"))
+    held = _line_regions(spark, sf).join(counts, "oid").where(rg.contains_line(F.col("ranges"), F.col("line")))
+    return held.select(_doc(), "qualifiers", "line")
+
+
 def regions_at_points(spark: SparkSession, sf: str) -> DataFrame:
     """Innermost region at points spread over the first line of every page."""
     files = fx.page_files(spark, sf)
@@ -184,6 +193,18 @@ def regions_at_points(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(_page(), "point_id", "col", "kind", "qualifiers")
 
 
+def regions_at_points_of_all_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Innermost region at 23 points of every line of every page."""
+    lines = fx.page_files(spark, sf).select("oid", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\n", -1)).alias("row", "_line"))
+    points = lines.select(
+        "oid",
+        F.col("row").cast("long").alias("row"),
+        F.posexplode(F.array(*[F.floor(F.length("_line") * k / 23) for k in range(23)])).alias("point_id", "col"),
+    )
+    found = regions.regions_at(points, _page_regions(spark, sf), ["oid"])
+    return found.select(_page(), "row", "point_id", "col", "kind", "qualifiers")
+
+
 def _novel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Novel lines of changed documents and the regions of both of their versions."""
     pairs = cut_lineage(fx.document_pairs(spark, sf))
@@ -289,7 +310,9 @@ QUERIES = {
         line_regions,
         line_region_checksums,
         lines_in_regions,
+        every_fourth_line_in_regions,
         regions_at_points,
+        regions_at_points_of_all_rows,
         novel_lines_per_region,
         novel_lines_per_innermost,
         rules_per_list,
@@ -388,6 +411,26 @@ held AS (
   JOIN regions r ON r.page_id = n.page_id AND r.kind = n.kind AND r.qualifiers = n.qualifiers)""",
         body="""SELECT page_id, CAST(point_id AS INTEGER) AS point_id, col, kind, qualifiers FROM held
 QUALIFY row_number() OVER (PARTITION BY page_id, point_id ORDER BY byte_size, first_seq) = 1""",
+    ),
+    "every_fourth_line_in_regions": with_(
+        LINES, body="SELECT doc_id, word AS qualifiers, CAST(row AS BIGINT) AS line FROM words WHERE row % 4 = 0"
+    ),
+    "regions_at_points_of_all_rows": with_(
+        PAGES,
+        """page_lines AS (
+  SELECT page_id, row, strlen(line) AS n, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY page_id ORDER BY row
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line,
+               generate_subscripts(string_split(html, chr(10)), 1) - 1 AS row FROM pages)),
+points AS (
+  SELECT page_id, row, k AS point_id, CAST(floor(n * k / 23) AS BIGINT) AS col, start + CAST(floor(n * k / 23) AS BIGINT) AS byte
+  FROM page_lines, range(23) t(k)),
+held AS (
+  SELECT p.page_id, p.row, point_id, col, r.kind, r.qualifiers, r.byte_size, r.first_seq FROM points p
+  JOIN named n ON p.page_id = n.page_id AND start_byte <= byte AND end_byte >= byte
+  JOIN regions r ON r.page_id = n.page_id AND r.kind = n.kind AND r.qualifiers = n.qualifiers)""",
+        body="""SELECT page_id, CAST(row AS BIGINT) AS row, CAST(point_id AS INTEGER) AS point_id, col, kind, qualifiers FROM held
+QUALIFY row_number() OVER (PARTITION BY page_id, row, point_id ORDER BY byte_size, first_seq) = 1""",
     ),
     "novel_lines_per_region": with_(BEFORE, AFTER, PAIRS, body=NOVEL_WORDS),
     "novel_lines_per_innermost": with_(BEFORE, AFTER, PAIRS, body=NOVEL_WORDS),
