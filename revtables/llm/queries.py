@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revtables.llm import chat, html_text, mixing, pii, quality_rules, sql, suffix_dedup, toxicity, warc
 from revtables.llm.decontamination import is_contaminated, n_hit, search_items
 from revtables.llm.near_duplicates import near_duplicates
+from revtables.llm.top_k import top_k
 from revtables.session import cut_lineage
 
 
@@ -116,6 +117,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -128,5 +133,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 ORACLES = sql.ORACLES

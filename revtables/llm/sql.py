@@ -120,4 +120,15 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
-ORACLES = {"op4_chat": OP4, "op6_near_duplicates": OP6, "op7_mixing": OP7, "op8_warc": OP8, "op10_decontamination": OP10}
+OP13 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 10
+"""
+
+ORACLES = {"op4_chat": OP4, "op6_near_duplicates": OP6, "op7_mixing": OP7, "op8_warc": OP8, "op10_decontamination": OP10, "op13_exact_top_k": OP13}
