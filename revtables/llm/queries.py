@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revtables.llm import chat, html_text, mixing, pii, quality_rules, sql, suffix_dedup, toxicity, warc
 from revtables.llm.decontamination import is_contaminated, n_hit, search_items
 from revtables.llm.near_duplicates import near_duplicates
+from revtables.llm.source_audit import audit
 from revtables.llm.top_k import top_k
 from revtables.session import cut_lineage
 
@@ -117,6 +118,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -133,6 +138,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op12_source_audit": op12_source_audit,
     "op13_exact_top_k": op13_exact_top_k,
 }
 ORACLES = sql.ORACLES

@@ -120,6 +120,33 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+_SHARE = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * v)"
+_APART = "(({p}) - ({q})) * (({p}) - ({q})) // (({p}) + ({q}))"
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+langs AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN langs USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM langs GROUP BY lang),
+groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(sizes.total, 0) AS of_lang, coalesce(c.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN sizes USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) c USING (lang, source)),
+shares AS (
+  SELECT lang, source, term, coalesce(counts.n, 0) AS n, {_SHARE.format(n="coalesce(counts.n, 0)", total="groups.total")} AS p, {_SHARE.format(n="langs.n", total="of_lang")} AS q
+  FROM groups JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS one, y.source AS other, sum({_APART.format(p="x.p", q="y.p")}) AS value
+             FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND one = a.source AND other = b.source),
+terms AS (SELECT lang, source, term AS item, {_APART.format(p="p", q="q")} AS value FROM shares WHERE n > 0 AND p > q),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
 OP13 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -131,4 +158,4 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scores QUALIFY rank <= 10
 """
 
-ORACLES = {"op4_chat": OP4, "op6_near_duplicates": OP6, "op7_mixing": OP7, "op8_warc": OP8, "op10_decontamination": OP10, "op13_exact_top_k": OP13}
+ORACLES = {"op4_chat": OP4, "op6_near_duplicates": OP6, "op7_mixing": OP7, "op8_warc": OP8, "op10_decontamination": OP10, "op12_source_audit": OP12, "op13_exact_top_k": OP13}
