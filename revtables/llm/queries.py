@@ -9,6 +9,7 @@ from revtables.llm import chat, html_text, mixing, pii, quality_rules, sql, suff
 from revtables.llm.decontamination import is_contaminated, n_hit, search_items
 from revtables.llm.near_duplicates import near_duplicates
 from revtables.llm.source_audit import audit
+from revtables.llm.token_alignment import aligned
 from revtables.llm.top_k import top_k
 from revtables.session import cut_lineage
 
@@ -118,6 +119,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = aligned(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", *[f"alignment.{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -138,6 +144,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_token_alignment": op11_token_alignment,
     "op12_source_audit": op12_source_audit,
     "op13_exact_top_k": op13_exact_top_k,
 }
