@@ -26,8 +26,10 @@ def held_out(doc_id: Column) -> Column:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.with_kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("dedup.removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    kept = F.make_valid_utf8(F.col("dedup.kept").cast("string"))
     return out.select(
-        "doc_id", "dedup.n_bytes", removed.alias("n_removed"), F.size("dedup.removed").cast("long").alias("n_spans"), F.sha2("dedup.kept", 256).alias("kept_sha256")
+        "doc_id", "dedup.n_bytes", removed.alias("n_removed"), F.size("dedup.removed").cast("long").alias("n_spans"),
+        F.sha2("dedup.kept", 256).alias("kept_sha256"), kept.alias("text"),
     )
 
 

@@ -35,6 +35,8 @@ MANY, PIECE = 400, 32
 MOST_PIECES = 20_000
 #: Contexts are sorted together up to about so many bytes.
 SORT_BYTES = 1 << 17
+#: Anchors of a longer text are sought in parts of so many windows, so that memory does not grow with it.
+PART = 1 << 20
 
 _CONTEXT = "text_id binary, low int, windows int, anchor int, gram long, context long"
 
@@ -78,13 +80,17 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, z in slices(offsets):
-                text, *columns = anchors(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], length, gram)
-                if len(text):
-                    ids = batch.column("text_id").take(pa.array(text + a))
-                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, *(pa.array(c).cast(k) for c, k in zip(columns, kinds))], [f.split()[0] for f in _CONTEXT.split(", ")]
-                    )
+                # the windows of an anchor may part at the end of a part; they are two contexts then
+                for first in range(0, max(1, int(offsets[z] - offsets[a])), PART) if z == a + 1 else (0,):
+                    part = data[offsets[a] + first : offsets[z]][: PART + length - 1 if z == a + 1 else None]
+                    own = np.array([0, len(part)]) if z == a + 1 else offsets[a : z + 1] - offsets[a]
+                    text, low, *columns = anchors(part, own, length, gram)
+                    if len(text):
+                        ids = batch.column("text_id").take(pa.array(text + a))
+                        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                        yield pa.RecordBatch.from_arrays(
+                            [ids, *(pa.array(c).cast(k) for c, k in zip((low + first, *columns), kinds))], [f.split()[0] for f in _CONTEXT.split(", ")]
+                        )
 
     return texts.mapInArrow(run, _CONTEXT)
 
@@ -273,7 +279,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     texts = docs.select(_text_id().alias("text_id"), _bytes().alias("text")).where(F.length("text") >= length)
     every = cut_lineage(_contexts(texts, length, gram))
-    often = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the rows of a frequent hash, on the other side of the join, can be split at run time
+    often = cut_lineage(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     shared = cut_lineage(every.join(often, "gram"))
     distinct = cut_lineage(
         shared.groupBy("gram", "context").agg(
@@ -301,7 +308,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             distinct.where("n > 1").select("gram", "context", F.lit(0).alias("first"), (F.col("source.windows") - 1).alias("last"))
         )
     )
-    by_context = flags.groupBy("gram", "context").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    by_context = cut_lineage(flags.groupBy("gram", "context").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
     found = shared.join(by_context, ["gram", "context"]).select(
         "text_id",
         F.transform("runs", lambda r: F.struct((F.col("low") + r["first"]).alias("start"), (F.col("low") + r["last"] + length).alias("end"))).alias("spans"),
@@ -326,8 +333,11 @@ def with_kept(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     A column called dedup is replaced.
     """
     docs = docs.drop("dedup")
-    spans = repeated_spans(docs, length, gram).withColumnRenamed("text_id", "_id").withColumnRenamed("spans", "_spans")
-    rows = docs.join(spans, _text_id() == F.col("_id"), "left").drop("_id")
+    spans = cut_lineage(repeated_spans(docs, length, gram)).withColumnRenamed("text_id", "_id").withColumnRenamed("spans", "_spans")
+    # short texts, among them all that are null or empty, have nothing to look up
+    long = F.length(_bytes()) >= length
+    none = F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans")
+    rows = docs.where(long).join(spans, _text_id() == F.col("_id"), "left").drop("_id").unionByName(docs.where(~long).select("*", none))
     span = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")])
     kind = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
     arrow = pa.struct([("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])

@@ -77,6 +77,16 @@ def test_suffix_dedup_on_odd_rows(spark, odd, monkeypatch, many, most):
     assert _dedup(empty(spark), 40, 8) == []
 
 
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", 30_000)
+    dice = random.Random(9)
+    noise = lambda n: "".join(dice.choices("abcdefgh é", k=n))
+    passage, other = noise(3000), noise(700)
+    rows = [(1, noise(29_000) + passage + noise(150_000) + other + noise(20_000) + passage), (2, noise(500) + other + noise(40)), (3, "ab" * 45_000), (4, None), (5, noise(399))]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, dedup string")
+    assert _dedup(df, 400, 32) == _plain(rows, 400)
+
+
 def test_suffixes_in_order():
     dice = random.Random(5)
     for alphabet in (b"a", b"ab", b"abcd", bytes(range(256))):
