@@ -220,7 +220,7 @@ def rebuilt_changes(spark: SparkSession, sf: str) -> DataFrame:
     folder = fx.work_folder(spark) + "/changes"
     changes = fx.changes_star(spark, sf)
     store.append_changes(changes.where("seconds_since_epoch > 850000000"), folder)
-    store.purge_changes(spark, folder, changes.schema["commit_id"].dataType)
+    store.purge_changes(spark, folder)
     store.append_changes(changes.where("seconds_since_epoch < 880000000"), folder)
     return store.open_changes(spark, folder, changes.schema["commit_id"].dataType)
 

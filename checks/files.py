@@ -22,7 +22,7 @@ from revtables.plans.history import build_changes
 from revtables.session import cut_lineage
 from revtables.sources import objects
 from revtables.sources.files import read_files
-from revtables.sources.store import open_changes
+from revtables.sources.store import compact_changes, open_changes
 from revtables.streaming.history_stream import revision_stream
 
 DOCUMENT = ["doc_id"]
@@ -311,6 +311,27 @@ def build_history_by_stream(spark: SparkSession, sf: str) -> DataFrame:
     return open_changes(spark, f"{folder}/changes", landed["commit_id"].dataType)
 
 
+def history_of_shuffled_revisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns landed in shuffled order over ten batches, then all parts of the table put together.
+
+    Batch ``k`` has the turns whose hash ends in ``k``, so most turns come after later ones.
+    """
+    log = fx.conversation_log(spark, sf).withColumn("seconds_since_epoch", F.col("commit_id"))
+    folder = fx.work_folder(spark)
+    columns = ["commit_id", "seconds_since_epoch", "path", "revision", "oid"]
+    blobs = cut_lineage(log.groupBy("oid").agg(F.min("content").alias("content")))
+    landing = cut_lineage(log.select(*columns, F.pmod(F.xxhash64("path", "revision"), F.lit(10)).alias("_batch")))
+    for batch in range(10):
+        landing.where(F.col("_batch") == batch).drop("_batch").coalesce(1).write.parquet(f"{folder}/landed/batch={batch}")
+        stream = spark.readStream.schema(landing.drop("_batch").schema).parquet(f"{folder}/landed/*")
+        revision_stream(
+            stream, lambda: blobs, [fx.PROSE], f"{folder}/changes", f"{folder}/state", f"{folder}/progress"
+        ).awaitTermination()
+    commit_id = landing.schema["commit_id"].dataType
+    compact_changes(spark, f"{folder}/changes", commit_id)
+    return open_changes(spark, f"{folder}/changes", commit_id)
+
+
 def merged_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """All changed lines of documents without repeated words taken over from the after version.
 
@@ -360,6 +381,7 @@ QUERIES = {
         build_history,
         build_history_in_two_steps,
         build_history_by_stream,
+        history_of_shuffled_revisions,
         merged_symbols,
     )
 }
@@ -455,6 +477,13 @@ hunks AS (
     p AS (PARTITION BY doc_id ORDER BY gap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 """
 
+REVISION_HISTORY = _history(
+    """
+  SELECT commit_id, commit_id AS seconds, path, previous AS bc, text AS ac FROM revisions
+  WHERE text IS DISTINCT FROM previous""",
+    (REVISIONS,),
+)
+
 ORACLES = {
     "blob_ids": "SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS oid FROM documents",
     "line_counts": f"SELECT doc_id, {newlines('text')} AS newlines, {line_count('text')} AS lines FROM documents",
@@ -616,12 +645,8 @@ FROM both_stages WHERE kind <> 'file'""",
     ),
     "build_history": DOCUMENT_HISTORY,
     "build_history_in_two_steps": DOCUMENT_HISTORY,
-    "build_history_by_stream": _history(
-        """
-  SELECT commit_id, commit_id AS seconds, path, previous AS bc, text AS ac FROM revisions
-  WHERE text IS DISTINCT FROM previous""",
-        (REVISIONS,),
-    ),
+    "build_history_by_stream": REVISION_HISTORY,
+    "history_of_shuffled_revisions": REVISION_HISTORY,
     "merged_symbols": with_(
         BEFORE,
         AFTER,

@@ -90,10 +90,26 @@ def revision_changes(log: DataFrame) -> DataFrame:
     A NULL oid in the log is a deletion. Only hashes are placed and looked back at,
     never contents.
     """
-    paired = with_previous(log, ["path"], ["revision"], ["oid"])
+    return paired_changes(with_previous(log, ["path"], ["revision"], ["oid"]))
+
+
+def paired_changes(paired: DataFrame) -> DataFrame:
+    """Changes of revisions that have the content before them as previous_oid."""
     before, after = F.col("previous_oid"), F.col("oid")
     return (
         paired.withColumn("change", _change(before, after, before != after))
         .where("change is not null and (previous_oid is not null or oid is not null)")
         .select("commit_id", "path", "change", before.alias("before_oid"), after.alias("after_oid"))
     )
+
+
+def disturbed_revisions(log: DataFrame, landed: DataFrame) -> DataFrame:
+    """Revisions whose predecessor is not what it was: the ``landed`` ones and the successors of those.
+
+    Both have the columns of ``log`` (path, revision, oid and others); the result has them
+    and previous_oid. Revisions may land in any order, in front of stored ones too.
+    """
+    rows = log.withColumn("_landed", F.lit(False)).unionByName(landed.withColumn("_landed", F.lit(True)))
+    paired = with_previous(rows, ["path"], ["revision"], ["oid", "_landed"])
+    touched = F.col("_landed") | F.coalesce("previous__landed", F.lit(False))
+    return paired.where(touched).drop("_landed", "previous__landed")

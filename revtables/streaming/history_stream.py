@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from revtables.operators.rules import RuleList
-from revtables.operators.snapshots import revision_changes
+from revtables.operators.snapshots import disturbed_revisions, paired_changes
 from revtables.plans.history import changes_of
 from revtables.session import cut_lineage
-from revtables.sources.store import append_changes
+from revtables.sources import versions
+from revtables.sources.store import append_changes, replace_changes
 
 
 def append_stream(
@@ -42,48 +42,48 @@ def append_stream(
     )
 
 
-LAST = T.StructType(
-    [
-        T.StructField("path", T.StringType(), False),
-        T.StructField("revision", T.LongType(), False),
-        T.StructField("oid", T.StringType(), True),
-        T.StructField("batch", T.LongType(), False),
-    ]
-)
+#: The log is laid out by so many ranges of paths, so that a batch reads the files of its paths only.
+BUCKETS = 64
 
 
-# After this many batches the last revisions of all paths are written together, so a
-# batch never reads more than that many small folders.
-COMPACT_EVERY = 50
+class ConflictingRevision(ValueError):
+    """One revision of a path came with two contents or from two commits."""
 
 
-def _read_state(spark: SparkSession, folder: str) -> DataFrame:
-    try:
-        return spark.read.schema(LAST).parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], LAST)
+def log_schema(commit_id: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("bucket", T.IntegerType()),
+            T.StructField("path", T.StringType()),
+            T.StructField("revision", T.LongType()),
+            T.StructField("oid", T.StringType()),
+            T.StructField("commit_id", commit_id),
+            T.StructField("seconds_since_epoch", T.LongType()),
+            T.StructField("batch", T.LongType()),
+        ]
+    )
 
 
-def _newest(revisions: DataFrame) -> DataFrame:
-    return revisions.groupBy("path").agg(
-        F.max_by("oid", "revision").alias("oid"), F.max("revision").cast("long").alias("revision")
-    )
+def _laid_out(log: DataFrame) -> DataFrame:
+    order = ["bucket", "path", "revision"]
+    return log.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _last_revisions(spark: SparkSession, state: str, before_batch: int) -> DataFrame:
-    """Latest known revision of every path, as of the batches before ``before_batch``."""
-    base = max(before_batch - 1, 0) // COMPACT_EVERY * COMPACT_EVERY
-    batch = F.col("batch")
-    compacted = _read_state(spark, f"{state}/all").where((batch == base) & (F.lit(base) > 0))
-    after = batch > base if base else F.lit(True)
-    recent = _read_state(spark, f"{state}/batches").where(after & (batch < before_batch))
-    return _newest(compacted.unionByName(recent))
+def _log_of(spark: SparkSession, state: str, rows: DataFrame, before_batch: int) -> DataFrame:
+    """What earlier batches logged of the paths in ``rows``."""
+    buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+    log = versions.read(spark, state, log_schema(rows.schema["commit_id"].dataType))
+    log = log.where(F.col("bucket").isin(buckets) & (F.col("batch") < before_batch))
+    return log.join(rows.select("path").distinct(), "path", "left_semi")
 
 
-class LateRevision(ValueError):
-    """A revision came after a later one of its path was taken in by an earlier batch."""
+def _check(rows: DataFrame, log: DataFrame) -> None:
+    told = rows.unionByName(log.select(*rows.columns)).groupBy("path", "revision").agg(
+        F.count_distinct(F.struct("commit_id", "oid")).alias("n")
+    )
+    twice = told.where("n > 1").first()
+    if twice is not None:
+        raise ConflictingRevision(f"revision {twice['revision']} of {twice['path']} came with different contents or commits")
 
 
 def revision_stream(
@@ -96,37 +96,35 @@ def revision_stream(
 ) -> StreamingQuery:
     """History build over a stream of (commit_id, seconds_since_epoch, path, revision, oid).
 
-    The previous revision of a path may have come in an earlier batch, so the last
-    revision of each path is kept as a table of hashes under ``state``, one folder
-    per batch and now and then one for all paths. A batch reads the folders before
-    its own and overwrites its own, which makes a repeated batch give the same rows.
-    Revisions of one path must arrive in order across batches; inside a batch any
-    order will do. A late one ends the stream with :class:`LateRevision` before the
-    batch writes anything, as its successor's stored rows would have to be replaced.
+    Revisions may land in any order, also long after later ones of their path. Hashes of
+    all revisions are kept as a log under ``state``, by path. A batch looks up the
+    neighbours of its revisions there: each is compared with its predecessor, and each
+    successor anew with the revision that now stands before it. The rows that are stored
+    of both are replaced in one version of the table, so readers never see a successor
+    counted against the wrong predecessor beside a late revision.
+
+    A batch that is run again replaces its rows by the same ones, and its revisions are
+    logged once. A revision that lands again unchanged is ignored; one that lands with
+    another content or commit ends the stream with :class:`ConflictingRevision`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = cut_lineage(batch)
-        touched = rows.select("path").distinct()
-        last = _last_revisions(spark, state, batch_id).join(touched, "path", "left_semi")
-        known = last.select("path", F.col("revision").alias("_revision"), F.col("oid").alias("_oid"))
-        same = (F.col("revision") == F.col("_revision")) & F.col("oid").eqNullSafe(F.col("_oid"))
-        late = rows.join(known, "path").where((F.col("revision") <= F.col("_revision")) & ~same).first()
-        if late is not None:
-            raise LateRevision(f"revision {late['revision']} of {late['path']} came after revision {late['_revision']}; build the history anew")
-        id_type = rows.schema["commit_id"].dataType
-        earlier = last.select(F.lit(None).cast(id_type).alias("commit_id"), "path", "revision", "oid")
-        log = rows.select("commit_id", "path", F.col("revision").cast("long").alias("revision"), "oid")
-        changes = revision_changes(earlier.unionByName(log)).where("commit_id is not null")
-        times = rows.select("commit_id", "seconds_since_epoch").distinct()
-        append_changes(changes_of(changes, times, blobs(), lists), table)
-        own = f"batch={batch_id}"
-        newest = _newest(log)
-        newest.write.mode("overwrite").parquet(f"{state}/batches/{own}")
-        if batch_id > 0 and batch_id % COMPACT_EVERY == 0:
-            everything = _last_revisions(spark, state, batch_id).unionByName(newest)
-            _newest(everything).write.mode("overwrite").parquet(f"{state}/all/{own}")
+        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        columns = ["path", F.col("revision").cast("long").alias("revision"), "oid", "commit_id", "seconds_since_epoch"]
+        rows = cut_lineage(batch.select(bucket, *columns).distinct())
+        if rows.isEmpty():
+            return
+        log = cut_lineage(_log_of(spark, state, rows, batch_id).drop("batch"))
+        _check(rows, log)
+        fresh = rows.join(log, ["path", "revision"], "left_anti")
+        disturbed = cut_lineage(disturbed_revisions(log, fresh.select(*log.columns)))
+        times = disturbed.select("commit_id", "seconds_since_epoch").distinct()
+        changes = changes_of(paired_changes(disturbed), times, blobs(), lists)
+        replace_changes(changes, disturbed.select("commit_id", F.col("path").alias("file_path")), table)
+        if versions.newest(spark, state).notes.get("batch", -1) < batch_id:
+            logged = fresh.withColumn("batch", F.lit(batch_id).cast("long")).select(*log_schema(rows.schema["commit_id"].dataType).names)
+            versions.append(logged, state, _laid_out, {"batch": batch_id})
 
     return (
         stream.writeStream.foreachBatch(write)
