@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.sql import AFTER, BEFORE, INDEX, PAIRS, diff, line_count, newlines, with_
+from checks.sql import AFTER, BEFORE, INDEX, PAIRS, diff, line_count, newlines, version, with_
 from revtables.functions.ids import blob_id
 from revtables.functions.paths import extension, file_name
 from revtables.functions.text import byte_text, newline_count, split_lines
@@ -18,7 +18,7 @@ from revtables.operators.positions import with_previous
 from revtables.operators.rules import rule_list_of
 from revtables.plans import diff as diffs
 from revtables.plans import merge, reports
-from revtables.plans.history import build_changes
+from revtables.plans.history import build_changes, update_changes
 from revtables.session import cut_lineage
 from revtables.sources import objects
 from revtables.sources.files import read_files
@@ -311,6 +311,34 @@ def build_history_by_stream(spark: SparkSession, sf: str) -> DataFrame:
     return open_changes(spark, f"{folder}/changes", landed["commit_id"].dataType)
 
 
+def build_history_of_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """A chain of many commits with merges and back-dated ones, in one go."""
+    log, trees = fx.document_chain(spark, sf)
+    blobs = fx.document_blobs(spark, sf, fx.ORIGINAL, fx.EDITED)
+    return build_changes(log, trees, blobs, [fx.PROSE], F.lit(fx.CHAIN_LENGTH))
+
+
+def _updated(spark: SparkSession, sf: str, *steps: tuple[int, list]) -> DataFrame:
+    """The table after updates to each head by the lists of rules beside it."""
+    log, trees = fx.document_chain(spark, sf)
+    blobs = fx.document_blobs(spark, sf, fx.ORIGINAL, fx.EDITED)
+    table = f"{fx.work_folder(spark)}/changes"
+    for head, lists in steps:
+        update_changes(table, log, trees, blobs, lists, F.lit(head))
+    return open_changes(spark, table, log.schema["commit_id"].dataType)
+
+
+def update_history_in_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The same chain up to two earlier commits first, the second of them back-dated."""
+    return _updated(spark, sf, (4, [fx.PROSE]), (15, [fx.PROSE]), (fx.CHAIN_LENGTH, [fx.PROSE]))
+
+
+def history_after_changed_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Built by other rules for two languages, then brought up to date with changed rules and a later head."""
+    before, after = [fx.PROSE_NORTH, fx.OTHER_SOUTH], [fx.PROSE_NORTH, fx.PROSE_SOUTH]
+    return _updated(spark, sf, (15, before), (fx.CHAIN_LENGTH, after))
+
+
 def history_of_shuffled_revisions(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns landed in shuffled order over ten batches, then all parts of the table put together.
 
@@ -381,6 +409,9 @@ QUERIES = {
         build_history,
         build_history_in_two_steps,
         build_history_by_stream,
+        build_history_of_chain,
+        update_history_in_steps,
+        history_after_changed_rules,
         history_of_shuffled_revisions,
         merged_symbols,
     )
@@ -462,6 +493,22 @@ DOCUMENT_HISTORY = _history(
     (BEFORE, AFTER),
 ).replace("SELECT commit_id, seconds AS seconds_since_epoch", "SELECT CAST(commit_id AS BIGINT) AS commit_id, CAST(seconds AS BIGINT) AS seconds_since_epoch")
 
+CHAIN_HISTORY = _history(
+    f"""
+  SELECT coalesce(a.c, b.c + 1) AS commit_id, 1000 * coalesce(a.c, b.c + 1) - CASE WHEN coalesce(a.c, b.c + 1) % 5 = 0 THEN 2500 ELSE 0 END AS seconds,
+         coalesce(a.path, b.path) AS path, b.content AS bc, a.content AS ac
+  FROM states a FULL JOIN (SELECT * FROM states WHERE c < {fx.CHAIN_LENGTH}) b ON a.path = b.path AND a.c = b.c + 1
+  WHERE a.content IS DISTINCT FROM b.content""",
+    (
+        version("original", *fx.ORIGINAL),
+        version("edited", *fx.EDITED),
+        f"""
+states AS (
+  SELECT c, o.path, CASE WHEN (o.doc_id * 3 + c) % 7 = 0 THEN e.content ELSE o.content END AS content
+  FROM original o JOIN edited e USING (doc_id), range(1, {fx.CHAIN_LENGTH + 1}) r(c) WHERE (o.doc_id + c) % 11 <> 0)""",
+    ),
+)
+
 UNIQUE = "len(list_distinct(string_split(bc, chr(10)))) = len(string_split(bc, chr(10)))"
 GAPS = f"""
 unique_pairs AS (SELECT doc_id FROM pairs WHERE {UNIQUE}),
@@ -647,6 +694,9 @@ FROM both_stages WHERE kind <> 'file'""",
     "build_history_in_two_steps": DOCUMENT_HISTORY,
     "build_history_by_stream": REVISION_HISTORY,
     "history_of_shuffled_revisions": REVISION_HISTORY,
+    "build_history_of_chain": CHAIN_HISTORY,
+    "update_history_in_steps": CHAIN_HISTORY,
+    "history_after_changed_rules": CHAIN_HISTORY,
     "merged_symbols": with_(
         BEFORE,
         AFTER,

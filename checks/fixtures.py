@@ -23,6 +23,13 @@ PROSE = RuleList(
     rules=(Rule("line", "match", r"(?m:^(\S+)[^\n]*)"),),
 )
 
+# The same rules in two lists, and other rules for the second of them.
+PROSE_NORTH = RuleList(name="north", separator="::", file_types=LANGUAGES[:2], rules=PROSE.rules)
+PROSE_SOUTH = RuleList(name="south", separator="::", file_types=LANGUAGES[2:], rules=PROSE.rules)
+OTHER_SOUTH = RuleList(
+    name="south", separator="::", file_types=LANGUAGES[2:], rules=(Rule("second", "match", r"(?m:^\S+ (\S+)[^\n]*)"),)
+)
+
 TAGS = ("nav", "article", "div", "ul", "li", "h1", "p")
 ALL_TAGS = "|".join([*TAGS, "a"])
 HTML = RuleList(
@@ -176,6 +183,32 @@ def document_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return log, first.unionByName(second)
 
 
+CHAIN_LENGTH = 24
+ORIGINAL, EDITED = ("true", "false"), ("true", "true")
+
+
+def document_chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Commits 1 to ``CHAIN_LENGTH`` over the documents, some of them merges, some dated before their parents.
+
+    A commit lacks every eleventh document and has every seventh one edited, others each
+    time. The second parents of the merges are commits of their own, outside the chain.
+    """
+    n = CHAIN_LENGTH
+    rows = [
+        (k, [k - 1] * (k > 1) + [100 + k] * (k % 6 == 0), 1000 * k - 2500 * (k % 5 == 0), 0, f"commit {k}") for k in range(1, n + 1)
+    ] + [(100 + k, [], 1000 * k - 10, 0, "aside") for k in range(6, n + 1, 6)]
+    log = spark.createDataFrame(rows, "commit_id long, parent_ids array<long>, author_seconds long, author_offset int, message string")
+    edited = document_versions(spark, sf_dir, *EDITED).select("doc_id", F.col("oid").alias("edited"))
+    files = document_versions(spark, sf_dir, *ORIGINAL).select("doc_id", "path", "mode", "oid").join(edited, "doc_id")
+    steps = files.withColumn("commit_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    oid = F.when((F.col("doc_id") * 3 + F.col("commit_id")) % 7 == 0, F.col("edited")).otherwise(F.col("oid"))
+    main = steps.where((F.col("doc_id") + F.col("commit_id")) % 11 != 0).select("commit_id", "path", "mode", oid.alias("oid"))
+    aside = files.where("doc_id % 3 = 0").select(
+        F.explode(F.array(*[F.lit(100 + k).cast("long") for k in range(6, n + 1, 6)])).alias("commit_id"), "path", "mode", "oid"
+    )
+    return log, cut_lineage(main.unionByName(aside))
+
+
 def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as revisions of one file."""
     return table(spark, sf_dir, "conversations").select(

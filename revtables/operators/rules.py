@@ -17,6 +17,7 @@ region, the regex groups of its names, and how far the region reaches:
 
 from __future__ import annotations
 
+import hashlib
 import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -135,13 +136,18 @@ def rules_frame(spark: SparkSession, lists: Iterable[RuleList]) -> DataFrame:
     return spark.createDataFrame(rows, RULES)
 
 
+def rules_version(rule_list: RuleList) -> str:
+    """A digest that changes whenever a rule of the list does."""
+    return hashlib.sha256((rule_list.text or repr(rule_list)).encode()).hexdigest()
+
+
 def rule_lists_frame(spark: SparkSession, lists: Iterable[RuleList]) -> DataFrame:
     """One row per list; ``rules_version`` changes whenever a rule of the list does."""
     rows = [
-        (r.name, order, r.separator, list(r.file_types), list(r.exact_file_names), r.text or repr(r))
+        (r.name, order, r.separator, list(r.file_types), list(r.exact_file_names), rules_version(r))
         for order, r in enumerate(lists)
     ]
-    return spark.createDataFrame(rows, RULE_LISTS).withColumn("rules_version", F.sha2("rules_version", 256))
+    return spark.createDataFrame(rows, RULE_LISTS)
 
 
 def rule_counts(rules: DataFrame) -> DataFrame:
