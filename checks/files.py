@@ -19,10 +19,12 @@ from revtables.operators.rules import rule_list_of
 from revtables.plans import diff as diffs
 from revtables.plans import merge, reports
 from revtables.plans.history import build_changes, update_changes
+from revtables.plans.revisions import Repository, diff_revisions, repository_status
 from revtables.session import cut_lineage
 from revtables.sources import objects
 from revtables.sources.files import read_files
 from revtables.sources.store import compact_changes, open_changes
+from revtables.sources.tree import read_tree
 from revtables.streaming.history_stream import revision_stream
 
 DOCUMENT = ["doc_id"]
@@ -276,6 +278,36 @@ def status_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.status_lines(_status(spark, sf))
 
 
+def _repository(spark: SparkSession, sf: str, tree: bool = True) -> Repository:
+    """Two commits with binary ids, an index, and a tree with ignore files that has been written and read."""
+    log, trees = fx.with_binary_ids(*fx.document_trees(spark, sf))
+    blobs = fx.document_blobs(spark, sf, fx.BEFORE, fx.AFTER, fx.INDEX)
+    files = cut_lineage(read_tree(spark, fx.written_tree(spark, sf, fx.AFTER))) if tree else None
+    return Repository(log, trees, blobs, fx.snapshot(spark, sf, fx.INDEX), files)
+
+
+def tree_with_ignore_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree written from the documents, read without what its nested ignore files name."""
+    return read_tree(spark, fx.written_tree(spark, sf, fx.AFTER)).select("path", "oid", F.octet_length("content").cast("long").alias("bytes"))
+
+
+def diff_of_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Two commits by prefixes of their ids, one of an odd length, one in upper case."""
+    return diff_revisions(_repository(spark, sf, tree=False), [fx.PROSE], "356a1", "DA4B9237")
+
+
+def diff_of_commit_and_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return diff_revisions(_repository(spark, sf), [fx.PROSE], "356a192b")
+
+
+def diff_of_index_and_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return diff_revisions(_repository(spark, sf), [fx.PROSE])
+
+
+def status_of_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return repository_status(_repository(spark, sf), [fx.PROSE], "356a")
+
+
 def build_history(spark: SparkSession, sf: str) -> DataFrame:
     log, trees = fx.document_trees(spark, sf)
     blobs = fx.document_blobs(spark, sf, fx.BEFORE, fx.AFTER)
@@ -409,6 +441,11 @@ QUERIES = {
         build_history,
         build_history_in_two_steps,
         build_history_by_stream,
+        tree_with_ignore_files,
+        diff_of_commits,
+        diff_of_commit_and_tree,
+        diff_of_index_and_tree,
+        status_of_tree,
         build_history_of_chain,
         update_history_in_steps,
         history_after_changed_rules,
@@ -531,7 +568,16 @@ REVISION_HISTORY = _history(
     (REVISIONS,),
 )
 
+TREE = version("tree", f"{fx.AFTER[0]} AND {fx.NOT_IGNORED}", fx.AFTER[1])
+
 ORACLES = {
+    "tree_with_ignore_files": with_(TREE, body="SELECT path, oid, strlen(content) AS bytes FROM tree"),
+    "diff_of_commits": with_(BEFORE, AFTER, diff("", "before", "after"), body="SELECT * FROM diff"),
+    "diff_of_commit_and_tree": with_(BEFORE, TREE, diff("", "before", "tree"), body="SELECT * FROM diff"),
+    "diff_of_index_and_tree": with_(INDEX, TREE, diff("", "idx", "tree"), body="SELECT * FROM diff"),
+    "status_of_tree": with_(
+        BEFORE, INDEX, TREE, diff("u_", "idx", "tree"), diff("s_", "before", "idx"), BOTH, body="SELECT * FROM both_stages"
+    ),
     "blob_ids": "SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS oid FROM documents",
     "line_counts": f"SELECT doc_id, {newlines('text')} AS newlines, {line_count('text')} AS lines FROM documents",
     "commit_tree_files": with_(AFTER, body="SELECT path, '100644' AS mode, oid FROM after"),

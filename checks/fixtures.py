@@ -183,6 +183,52 @@ def document_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return log, first.unionByName(second)
 
 
+def with_binary_ids(log: DataFrame, trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Commits whose ids are the SHA-1 of their numbers."""
+
+    def digest(number):
+        return F.unhex(F.sha1(number.cast("string").cast("binary")))
+
+    log = log.withColumns({"commit_id": digest(F.col("commit_id")), "parent_ids": F.transform("parent_ids", digest)})
+    return log, trees.withColumn("commit_id", digest(F.col("commit_id")))
+
+
+# Rules of the written tree by folder and file, and which documents they leave in it.
+IGNORE_RULES = {
+    ".gitignore": "# left out\n*.es\n!src1/*.es\n.gitignore\n.ignore\n/src9/\n",
+    "src2/.gitignore": "*\n!*.en\n",
+    "src3/.ignore": "!*.es\n*7.de\n",
+    "src4/.gitignore": "!*.es\n[0-4]*.es\n",
+    "src9/.gitignore": "!*\n",
+}
+NOT_IGNORED = """CASE source WHEN 'src9' THEN false WHEN 'src1' THEN true WHEN 'src2' THEN lang = 'en'
+  WHEN 'src3' THEN NOT (lang = 'de' AND doc_id % 10 = 7)
+  WHEN 'src4' THEN NOT (lang = 'es' AND substr(CAST(doc_id AS VARCHAR(20)), 1, 1) IN ('0', '1', '2', '3', '4'))
+  ELSE lang <> 'es' END"""
+
+
+def written_tree(spark: SparkSession, sf_dir: str, version: tuple[str, str]) -> str:
+    """A folder with the files of one version of the documents, and nested ignore files."""
+    from pyarrow import fs
+
+    folder = work_folder(spark)
+    uri = folder if "://" in folder else f"file://{folder}"
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                system.create_dir(f"{base}/{path}".rpartition("/")[0])
+                with system.open_output_stream(f"{base}/{path}") as sink:
+                    sink.write(content)
+            yield batch[["path"]]
+
+    rules = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in IGNORE_RULES.items()], "path string, content binary")
+    files = document_versions(spark, sf_dir, *version).select("path", "content").unionByName(rules)
+    cut_lineage(files.mapInPandas(write, "path string"))
+    return folder
+
+
 CHAIN_LENGTH = 24
 ORIGINAL, EDITED = ("true", "false"), ("true", "true")
 

@@ -3,29 +3,41 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revtables.functions.text import byte_text, line_count, newline_count
 from revtables.operators.attribution import count_in_all, count_in_innermost, region_rows
 from revtables.operators.line_diff import line_diff, novel_lines
 from revtables.operators.regions import extract_regions, with_checksums
 from revtables.operators.rules import RuleList
+from revtables.session import cut_lineage
+from revtables.sources.contents import Contents, sized
 
 PAIR = ["before_oid", "after_oid"]
 LISTED_PAIR = [*PAIR, "list"]
 
 
-def contents_of(oids: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Blobs of the given ids only; contents are looked up after unchanged files are gone."""
+def contents_of(oids: DataFrame, blobs: DataFrame | Contents) -> DataFrame:
+    """Contents of the given ids only; they are looked up after unchanged files are gone."""
+    if isinstance(blobs, Contents):
+        return blobs.of(oids)
     return blobs.join(oids.distinct(), "oid", "left_semi")
 
 
-def sizes_of(blobs: DataFrame) -> DataFrame:
-    """(oid, newlines, lines); contents are read in place and never shuffled."""
-    text = byte_text(F.col("content"))
-    return blobs.select("oid", newline_count(text).alias("newlines"), line_count(text).alias("lines"))
+def changed_contents(changes: DataFrame, *blobs: DataFrame | Contents) -> DataFrame:
+    """(oid, newlines, lines, content) of both sides of all changes.
+
+    Each store is read once, here, and what it gives is written; sizes, diffs, regions and
+    checksums all come from that. Sizes are columns of their own, so they cost no contents.
+    An id that several stores have comes from one of them.
+    """
+    ids = changes.select(F.explode(F.array(*PAIR)).alias("oid")).where("oid is not null")
+    found = [contents_of(ids, b) if isinstance(b, Contents) else sized(contents_of(ids, b)) for b in blobs]
+    if len(found) == 1:
+        return cut_lineage(found[0])
+    return cut_lineage(reduce(DataFrame.unionByName, found).dropDuplicates(["oid"]))
 
 
 def diff_contents(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -37,10 +49,13 @@ def diff_contents(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
 
 @dataclass
 class ChangedTexts:
-    """Frames over the changed files of a job; ``changes`` has path, change, oids and list."""
+    """Frames over the changed files of a job; ``changes`` has path, change, oids and list.
+
+    ``contents`` has the contents of both sides, see ``changed_contents``.
+    """
 
     changes: DataFrame
-    blobs: DataFrame
+    contents: DataFrame
     lists: list[RuleList]
 
     def modified_pairs(self) -> DataFrame:
@@ -49,8 +64,11 @@ class ChangedTexts:
     def diffs(self) -> DataFrame:
         """Novel lines of every modified pair, whatever its list."""
         pairs = self.changes.where("change = 'modified'").select(*PAIR).distinct()
-        ids = pairs.select(F.explode(F.array(*PAIR)).alias("oid"))
-        return diff_contents(pairs, contents_of(ids, self.blobs))
+        return diff_contents(pairs, self.contents)
+
+    def sizes(self) -> DataFrame:
+        """(oid, newlines, lines); no contents are read for it."""
+        return self.contents.select("oid", "newlines", "lines")
 
     def files(self) -> DataFrame:
         """(oid, list, content) of every changed content that a list covers, once."""
@@ -60,7 +78,7 @@ class ChangedTexts:
             .where("oid is not null")
             .distinct()
         )
-        return ids.join(self.blobs, "oid").select("oid", "list", "content")
+        return ids.join(self.contents, "oid").select("oid", "list", "content")
 
     def regions(self, checksums: bool = False) -> DataFrame:
         files = self.files()

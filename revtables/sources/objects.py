@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revtables.functions.ids import hex_id
 from revtables.functions.paths import is_regular_file
 
 # Shorter prefixes would not narrow anything down.
@@ -30,11 +29,31 @@ def contents(entries: DataFrame, blobs: DataFrame) -> DataFrame:
     return entries.join(blobs, "oid")
 
 
+def prefix_range(prefix: str) -> tuple[bytes, bytes | None]:
+    """The ids that begin with these hexadecimal digits: from the first, to before the second (None: no end)."""
+    if len(prefix) < SHORTEST_PREFIX or set(prefix.lower()) - set("0123456789abcdef"):
+        raise ObjectNotFound(f"a prefix has at least {SHORTEST_PREFIX} hexadecimal digits")
+
+    def padded(number: int) -> bytes:
+        digits = f"{number:0{len(prefix)}x}"
+        return bytes.fromhex(digits + "0" * (len(digits) % 2))
+
+    number = int(prefix, 16)
+    return padded(number), None if number + 1 == 16 ** len(prefix) else padded(number + 1)
+
+
 def find_object(ids: DataFrame, prefix: str):
-    """The one id (column ``commit_id`` BINARY) whose hex form starts with ``prefix``."""
-    found = ids.where(hex_id(F.col("commit_id")).startswith(prefix.lower())).select("commit_id").limit(2).collect()
+    """The one id (column ``commit_id`` BINARY) whose hex form starts with ``prefix``.
+
+    A range of ids, so files sorted by id are skipped by their statistics.
+    """
+    low, high = prefix_range(prefix)
+    inside = F.col("commit_id") >= F.lit(low)
+    if high is not None:
+        inside = inside & (F.col("commit_id") < F.lit(high))
+    found = ids.where(inside).select("commit_id").distinct().limit(2).collect()
     if len(found) != 1:
-        raise ObjectNotFound("no object has this prefix" if not found else "the prefix is ambiguous")
+        raise ObjectNotFound(f"no object has the prefix {prefix}" if not found else f"the prefix {prefix} is ambiguous")
     return found[0].commit_id
 
 
