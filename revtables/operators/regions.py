@@ -386,6 +386,7 @@ def regions_at(points: DataFrame, regions: DataFrame, on: list[str]) -> DataFram
     ranges = regions.select(*on, "kind", "qualifiers", "byte_size", "first_seq", F.explode("ranges").alias("range")).select(
         *on, "kind", "qualifiers", "byte_size", "first_seq", "range.*"
     )
+    ranges = cut_lineage(ranges)  # the join looks at them twice
     inside = interval_join(points, ranges, on, "row", "start_row", "end_row").where(
         F.struct(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c")).between(
             F.struct(F.col("start_row").alias("r"), F.col("start_col").alias("c")),
