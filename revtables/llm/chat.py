@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revtables.llm.arrays import bound, chunks, cut, running_sum
+
 START, SEPARATOR, END, LINE_IN_ROLE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
 #: Roles whose texts the loss is taken on.
 LEARNED = ("assistant",)
@@ -30,15 +32,11 @@ def _role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit(LINE_IN_ROLE))
 
 
-def _bound(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _blocks(turns: Column) -> Column:
     """Adjacent turns of one role as one: role, texts."""
     n = F.size(turns)
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (turns[i]["role"] != turns[F.greatest(i - 1, F.lit(0))]["role"]))
-    return _bound(
+    return bound(
         starts,
         lambda s: F.transform(
             s,
@@ -73,18 +71,14 @@ def _pieces(blocks: Column, learned: tuple[str, ...]) -> Column:
 
 def _mask(pieces: Column) -> Column:
     """Start and end (exclusive, code points) of every part that the loss is taken on."""
-    ended = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["text"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p["text"])).alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return ended["spans"]
+
+    def spans(lengths: Column) -> Column:
+        rows = F.arrays_zip(lengths.alias("n"), running_sum(lengths).alias("end"), pieces.alias("p"))
+        return F.transform(
+            F.filter(rows, lambda x: x["p"]["loss"]), lambda x: F.struct((x["end"] - x["n"]).alias("start"), x["end"].alias("end"))
+        )
+
+    return bound(F.transform(pieces, lambda p: F.length(p["text"])), spans)
 
 
 def formatted(conversations: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
@@ -96,8 +90,8 @@ def formatted(conversations: DataFrame, learned: tuple[str, ...] = LEARNED) -> D
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     by_conversation = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    pieces = _bound(_bound(F.col("turns"), _blocks), lambda b: _pieces(b, learned))
-    out = _bound(
+    pieces = bound(bound(F.col("turns"), _blocks), lambda b: _pieces(b, learned))
+    out = bound(
         pieces,
         lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["text"]), "").alias("formatted"), _mask(p).alias("loss_mask")),
     )
@@ -119,4 +113,4 @@ def read_turns(text: Column) -> Column:
 
 def read_loss(text: Column, mask: Column) -> Column:
     """The unescaped texts under the mask, in order."""
-    return F.transform(mask, lambda s: unescape(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+    return bound(chunks(text), lambda pieces: F.transform(mask, lambda s: unescape(cut(pieces, s["start"], s["end"]))))
