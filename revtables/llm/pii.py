@@ -7,7 +7,8 @@ form, which count only if words near them say so. Each span has a score: what it
 is worth, raised by words of its kind near it and lowered by words against it.
 
 All of it is Spark expressions. A match's place is what stands between the matches before
-it, so one split of the text gives the places of all matches of a kind. The expressions
+it, so one split of the text and running sums give the places of all matches of a kind;
+the words near it are cut out of the chunk of text that it is in. The patterns
 are possessive, and matches that could begin anywhere in a run of letters begin at its
 start or where the last match ended, so the time is linear in the text.
 """
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revtables.llm.arrays import bound, chunks, cut, running, running_sum
+
 #: Code points before and after a span in which words count.
 CONTEXT = 40
 ACCEPT_FROM = 0.5
@@ -93,42 +96,27 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _spans_of(text: Column, kind: Kind) -> Column:
-    """All confirmed spans of a kind: start, end (exclusive, code points), kind, score."""
-    pattern = F.lit(kind.pattern)
-    between = F.transform(F.split(text, kind.pattern, -1), lambda p: F.length(p))
-
-    def placed(pieces: Column) -> Column:
-        walk = F.aggregate(
-            F.arrays_zip(pieces["matches"].alias("m"), pieces["gaps"].alias("g")),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["g"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-                F.when(
-                    x["m"].isNotNull() & _passes(kind.name, x["m"]),
-                    F.concat(
-                        acc["out"],
-                        F.array(F.struct(
-                            (acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("match")
-                        )),
-                    ),
-                ).otherwise(acc["out"]).alias("out"),
-            ),
-        )
-        return walk["out"]
+def _matches(text: Column, kind: Kind) -> Column:
+    """All matches of a kind, and the lengths of what stands before, between and after them."""
+    gaps = F.transform(F.split(text, kind.pattern, -1), lambda p: F.length(p))
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(kind.pattern), 0).alias("m"), gaps.alias("g"))
+    return F.when(text.rlike(_SIGNS[kind.name]), found).otherwise(F.array().cast("array<struct<m:string,g:int>>"))
 
-    found = _bound(F.struct(F.regexp_extract_all(text, pattern, 0).alias("matches"), between.alias("gaps")), placed)
+
+def _spans_of(matches: Column, ends: Column, pieces: Column, kind: Kind) -> Column:
+    """The confirmed spans of a kind: start, end (exclusive, code points), kind, score; ``pieces`` are the text's chunks."""
+    rows = F.arrays_zip(matches.alias("x"), ends.alias("end"))
+    good = F.filter(rows, lambda r: F.when(r["x"]["m"].isNotNull(), _passes(kind.name, r["x"]["m"])).otherwise(False))
+    found = F.transform(good, lambda r: F.struct((r["end"] - F.length(r["x"]["m"])).alias("start"), r["end"].alias("end")))
 
     def scored(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
-        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
+        before = cut(pieces, F.greatest(F.lit(0), s["start"] - CONTEXT), s["start"])
+        after = cut(pieces, s["end"], s["end"] + CONTEXT)
         nearby = F.concat(before, F.lit(" \u0001 "), after)
-        score = F.lit(kind.worth) + F.when(nearby.rlike(kind.near), 0.3).otherwise(0.0) - F.when(nearby.rlike(kind.against), 0.2).otherwise(0.0)
+        score = bound(
+            nearby,
+            lambda n: F.lit(kind.worth) + F.when(n.rlike(kind.near), 0.3).otherwise(0.0) - F.when(n.rlike(kind.against), 0.2).otherwise(0.0),
+        )
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lit(ORDER[kind.name]).alias("rank"), F.lit(kind.name).alias("kind"),
             F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 2).alias("score"), F.lit(kind.base).alias("base"),
@@ -152,8 +140,17 @@ def spans_of(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,score:double,base:boolean>>")
-    each = [F.when(text.rlike(_SIGNS[k.name]), _spans_of(text, k)).otherwise(none) for k in KINDS]
-    return F.array_sort(F.concat(*each), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
+    def found(x: Column) -> Column:
+        each = [_spans_of(x["matches"][k], x["ends"][k], x["pieces"], kind) for k, kind in enumerate(KINDS)]
+        return F.array_sort(F.concat(*each), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
+
+    def placed(matches: Column) -> Column:
+        lengths = lambda some: F.transform(some, lambda x: x["g"] + F.coalesce(F.length(x["m"]), F.lit(0)))
+        ends = F.transform(matches, lambda some: running_sum(lengths(some)))
+        return bound(F.struct(matches.alias("matches"), ends.alias("ends"), chunks(text).alias("pieces")), found)
+
+    some_sign = text.rlike("|".join(_SIGNS.values()))
+    return F.when(some_sign, bound(F.array(*[_matches(text, k) for k in KINDS]), placed)).otherwise(none)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -171,14 +168,18 @@ def masked(text: Column, spans: Column) -> Column:
 
     A null text stays null. What is left of a span that began inside an earlier one goes too.
     """
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], piece)).otherwise(acc["parts"]).alias("parts")
+    def written(x: Column) -> Column:
+        parts = F.transform(
+            F.arrays_zip(spans.alias("s"), x["reached"].alias("end")),
+            lambda p, i: bound(
+                F.when(i > 0, F.get(x["reached"], i - 1)).otherwise(0),
+                lambda at: F.when(
+                    p["s"]["start"] >= at, F.concat(cut(x["pieces"], at, p["s"]["start"]), F.lit("["), p["s"]["kind"], F.lit("]"))
+                ).otherwise(""),
+            ),
         )
+        return F.concat(F.array_join(parts, ""), cut(x["pieces"], F.element_at(x["reached"], -1), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    ended = F.aggregate(spans, start, step)
-    whole = _bound(ended, lambda e: F.concat(F.array_join(e["parts"], ""), F.substring(text, e["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    # up to where the spans so far have taken the text
+    reached = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) > 0, bound(F.struct(chunks(text).alias("pieces"), reached.alias("reached")), written)).otherwise(text)
