@@ -26,13 +26,16 @@ BLOCK_WORDS = 2_000_000
 #: Item words of the texts that one index holds; the last text goes in whole.
 SHARD_WORDS = 300_000
 SPAN = ("start", "end", "word", "words")
-FOUND = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in SPAN]))),
-        T.StructField("items", T.ArrayType(T.LongType())),
-    ]
-)
+
+
+def _found(item_id: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("n_words", T.LongType()),
+            T.StructField("spans", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in SPAN]))),
+            T.StructField("items", T.ArrayType(item_id)),
+        ]
+    )
 
 
 class Phrases:
@@ -67,7 +70,7 @@ class Phrases:
         return out
 
 
-def _items(items: DataFrame, size: int, block_words: int):
+def _items(items: DataFrame, item_id: T.DataType, size: int, block_words: int):
     """The items' words, block by block, in the order of their ids."""
 
     def words(batches):
@@ -76,8 +79,8 @@ def _items(items: DataFrame, size: int, block_words: int):
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), lists], ["item_id", "words"])
 
-    table = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    table = table.mapInArrow(words, "item_id long, words array<long>").where("size(words) > 0").orderBy("item_id")
+    table = items.where("item_id IS NOT NULL").select(F.col("item_id").cast(item_id).alias("item_id"), "text")
+    table = table.mapInArrow(words, f"item_id {item_id.simpleString()}, words array<long>").where("size(words) > 0").orderBy("item_id")
     block, held = [], 0
     for row in table.toLocalIterator():
         block.append((row["item_id"], np.array(row["words"], np.int64).view(np.uint64)))
@@ -174,15 +177,15 @@ def search_items(docs: DataFrame, items: DataFrame, phrase_words: int = PHRASE_W
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A span is
     a maximal stretch of the text that occurrences of phrases cover together (start and end
     in code points, its first word and how many words it has); ``items`` are the ids of the items with an occurrence.
-    Null texts have no words. Items without an id or without words have no phrase; items
-    with the same id count as one. Without items nothing is found. A column called found is
+    Null texts have no words. Item ids are whole numbers or else texts. Items without an id
+    or without words have no phrase; items with the same id count as one. Without items nothing is found. A column called found is
     replaced.
     """
     docs = docs.drop("found")
-    schema = T.StructType([*docs.schema.fields, T.StructField("found", FOUND)])
-    kind = pa.struct(
-        [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(c, pa.int64()) for c in SPAN]))), ("items", pa.list_(pa.int64()))]
-    )
+    item_id = T.LongType() if isinstance(items.schema["item_id"].dataType, T.IntegralType) else T.StringType()
+    schema = T.StructType([*docs.schema.fields, T.StructField("found", _found(item_id))])
+    name = pa.int64() if isinstance(item_id, T.LongType) else pa.string()
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(c, pa.int64()) for c in SPAN]))), ("items", pa.list_(name))])
 
     def search(frame: DataFrame, phrases: Phrases) -> DataFrame:
         def run(batches):
@@ -195,7 +198,7 @@ def search_items(docs: DataFrame, items: DataFrame, phrase_words: int = PHRASE_W
         return frame.mapInArrow(run, schema)
 
     out = None
-    for phrases in _items(items, phrase_words, block_words):
+    for phrases in _items(items, item_id, phrase_words, block_words):
         out = search(docs if out is None else cut_lineage(out), phrases)
     return search(docs, Phrases([], phrase_words)) if out is None else out
 

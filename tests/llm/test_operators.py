@@ -345,6 +345,13 @@ def test_decontamination_on_odd_texts(spark, odd, block):
     assert search_items(empty(spark), table).count() == 0
 
 
+def test_decontamination_by_texts_as_ids(spark):
+    items = spark.createDataFrame([("q-1", "one two three"), ("q-10", "three"), ("Q", "none"), (None, "one")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "zero ONE two three", "x"), (2, None, "y")], "doc_id long, text string, found string")
+    rows = {r["doc_id"]: (r["found"]["items"], r["found"]["n_words"]) for r in search_items(docs, items, 2, 1).collect()}
+    assert rows == {1: (["q-1", "q-10"], 4), 2: ([], 0)}
+
+
 def test_full_text_index_finds_every_place():
     dice = np.random.default_rng(2)
     runs = [dice.integers(1, 4, dice.integers(1, 40)) for _ in range(20)]
