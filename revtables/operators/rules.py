@@ -22,12 +22,14 @@ import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revtables.functions.paths import has_type
+from revtables.operators.regex_loops import open_loops
 
 FAMILIES = ("block", "statement", "item", "match", "nested", "section", "pair", "file")
 OPERATORS = ("contains", "not-contains")
@@ -163,16 +165,10 @@ def group_count(regex: Column) -> Column:
     return F.size(F.regexp_extract_all(plain, F.lit(r"(\((?:[^?]|$))"), F.lit(1)))
 
 
-def has_open_loop(regex: Column) -> Column:
-    """Whether a group with alternatives is repeated without being possessive.
-
-    The matcher takes stack for every round of such a loop, so a long construct ends the
-    whole executor; with ``*+``, ``++`` or ``{n,m}+`` it does not.
-    """
-    plain = F.regexp_replace(F.regexp_replace(regex, r"\\.", "_"), r"\[\^?\]?[^\]]*\]", "_")
-    flat = F.regexp_replace(plain, r"\([^()|]*\)(?:[*+?]|\{[0-9,]*\})?[+?]?", "_")
-    flat = F.regexp_replace(flat, r"\([^()|]*\)(?:[*+?]|\{[0-9,]*\})?[+?]?", "_")
-    return flat.rlike(r"\([^()]*\|[^()]*\)(?:[*+]|\{[0-9]*,[0-9]*\})(?!\+)")
+@F.pandas_udf(T.BooleanType())
+def has_open_loop(regexes: pd.Series) -> pd.Series:
+    """Whether a group is repeated without being possessive or of one fixed form; see ``open_loops``."""
+    return regexes.map(lambda regex: bool(open_loops(regex)) if regex is not None else None)
 
 
 def verify_rules(rules: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revtables.operators.builtin_rules import default_rule_lists
+from revtables.operators.regex_loops import open_loops
 from revtables.operators.rules import (
     load_rule_lists,
     parse_rule_list,
@@ -94,3 +95,49 @@ def test_mistakes_are_found(spark):
         (3, "unknown operator"),
         (4, "group loop that is not possessive"),
     }
+
+
+@pytest.mark.parametrize(
+    "regex,loops",
+    [
+        (r"f\((?:a+b)*\)", ["(?:a+b)*"]),
+        (r"f\(((a|b)c)*\)", ["((a|b)c)*"]),
+        (r"f\((?:(?:a|b)c)*\)", ["(?:(?:a|b)c)*"]),
+        (r"(?:a|b)+?x", ["(?:a|b)+?"]),
+        (r"(a|b){2,}", ["(a|b){2,}"]),
+        (r"(?:x(?:a?b)*)*+", ["(?:a?b)*"]),
+        (r"(?>a|b)*", ["(?>a|b)*"]),
+        (r"(?<name>a*b)+", ["(?<name>a*b)+"]),
+        (r"(?i:a|b)*", ["(?i:a|b)*"]),
+        (r"([^)]|\))*", [r"([^)]|\))*"]),
+        (r"(?:(x)\1)*", [r"(?:(x)\1)*"]),
+        (r"(?:a(?=b|c))*", []),
+        (r"(?:ab)*(?:a[|*+]b)+(\(\|x)*", []),
+        (r"(?:a|b)*+(?:a+b)++(?:c?d){1,}+", []),
+        (r"(a|b)?(?:a|b){3}(?:a+|b){0,20}", []),
+        (r"[(a|b)*]*\Q(a|b)*\E\(a|b\)*", []),
+        (r"[]|(a]*[^]|(a]+[a&&[^b|(]]*", []),
+        (r"(?m:^(\S+)[^\n]*)(?s).*", []),
+        (r"(?:\p{L}\x{41})*", []),
+        (r"a)b|(c", []),
+    ],
+)
+def test_loops_that_take_stack(regex, loops):
+    assert open_loops(regex) == loops
+
+
+def test_loops_that_are_not_reported_match_long_texts(spark):
+    """40 kB of one construct; the reported ones would end this process."""
+    text = "f(" + "ab" * 20_000 + ")"
+    for regex in (r"f\((?:ab)*\)", r"f\((?:a+b)*+\)", r"f\((?:(?:a|b)[ab])*+\)", r"f\([ab]*\)"):
+        assert open_loops(regex) == []
+        assert spark.range(1).select(F.lit(text).rlike(regex)).first()[0]
+
+
+def test_no_built_in_rule_has_an_open_loop():
+    for rule_list in default_rule_lists():
+        for rule in rule_list.rules:
+            for regex in (rule.header, rule.before, rule.lead, rule.each, *[c for _, c in rule.captures]):
+                assert not regex or open_loops(regex) == [], (rule_list.name, rule.kind, regex)
+        for regex in (rule_list.mask, rule_list.opener, rule_list.closer, rule_list.end, rule_list.boundary, rule_list.extra):
+            assert not regex or open_loops(regex) == [], (rule_list.name, regex)
