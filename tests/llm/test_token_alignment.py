@@ -88,6 +88,15 @@ def test_odd_texts(spark, size):
     assert aligned(df.where("text IS NULL"), ["doc_id"]).select(F.max("alignment.n_a")).first()[0] == 0
 
 
+def test_both_libraries_cut_alike(spark):
+    v = vocabularies(BYTE_LEVEL, PIECES)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [t or "" for t in ODD]
+    # white space, marks, digits and letters of every kind, next to each other in all ways
+    texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}  {chr(c)}{chr(c)}!{chr(c)}'s" for c in [*range(0x3100), *range(0x1F000, 0x20000, 7), *range(0x30000, 0x32000, 5)]]
+    texts += [" " * n + "x" for n in (199_999, 200_000, 3_000_000)] + ["a" * 200_000, "\n" * 200_000, "!" * 200_000]
+    assert v.first.table is not None and v.first.ids(texts) == v.first.slower_ids(texts)
+
+
 def test_same_bytes():
     v = vocabularies(BYTE_LEVEL, PIECES)
     assert all(v.same[i] < 0 or v.second.bytes[v.same[i]] == b for i, b in enumerate(v.first.bytes))
