@@ -13,12 +13,12 @@ from revtables.functions.text import byte_text, newline_count, split_lines
 from revtables.functions.text import line_count as count_lines
 from revtables.operators import line_diff as lines
 from revtables.operators import snapshots
-from revtables.operators.interval_join import interval_join
 from revtables.operators.positions import with_previous
 from revtables.operators.rules import rule_list_of
 from revtables.plans import diff as diffs
 from revtables.plans import merge, reports
 from revtables.plans.history import build_changes, update_changes
+from revtables.plans.symbols import extract_symbols
 from revtables.plans.revisions import Repository, diff_revisions, repository_status
 from revtables.session import cut_lineage
 from revtables.sources import objects
@@ -124,13 +124,11 @@ def line_offsets(spark: SparkSession, sf: str) -> DataFrame:
 def offset_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Row and column of byte offsets spread over every document."""
     texts = fx.table(spark, sf, "documents").select("doc_id", "text")
-    starts = lines.line_starts(texts, DOCUMENT, "text").withColumn("last", F.col("end_byte") - 1)
     size = F.octet_length("text")
     points = texts.select(
         "doc_id", F.explode(F.array_distinct(F.array(*[F.floor(size * k / 7) for k in range(7)]))).alias("offset")
     )
-    held = interval_join(points, starts, DOCUMENT, "offset", "start_byte", "last", 4096)
-    return held.select("doc_id", "offset", "row", (F.col("offset") - F.col("start_byte")).alias("column"))
+    return lines.positions_of_offsets(points, texts, DOCUMENT, "text")
 
 
 def multiset_line_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,6 +289,21 @@ def tree_with_ignore_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_tree(spark, fx.written_tree(spark, sf, fx.AFTER)).select("path", "oid", F.octet_length("content").cast("long").alias("bytes"))
 
 
+def symbols_of_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of all files of a tree that has been written and read."""
+    files = cut_lineage(read_tree(spark, fx.written_tree(spark, sf, fx.AFTER)))
+    return extract_symbols(files, [fx.PROSE]).select("file_path", "kind", "qualifiers", "line_size", "byte_size")
+
+
+def files_of_one_path(spark: SparkSession, sf: str) -> DataFrame:
+    """One file by its path, and the files of one folder by a name pattern, as a scan for symbols takes them."""
+    root = fx.written_tree(spark, sf, fx.AFTER)
+    first = fx.table(spark, sf, "documents").where(fx.AFTER[0]).agg(F.min(F.struct("doc_id", "source", "lang")).alias("d")).first()["d"]
+    one = read_files(spark, f"{root}/{first['source']}/{first['doc_id']}.{first['lang']}").withColumn("path", F.concat(F.lit(f"{first['source']}/"), "path"))
+    folder = read_files(spark, f"{root}/src9", name_glob="*.fr").withColumn("path", F.concat(F.lit("src9/"), "path"))
+    return one.unionByName(folder).select("path", "oid").distinct()
+
+
 def diff_of_commits(spark: SparkSession, sf: str) -> DataFrame:
     """Two commits by prefixes of their ids, one of an odd length, one in upper case."""
     return diff_revisions(_repository(spark, sf, tree=False), [fx.PROSE], "356a1", "DA4B9237")
@@ -442,6 +455,8 @@ QUERIES = {
         build_history_in_two_steps,
         build_history_by_stream,
         tree_with_ignore_files,
+        symbols_of_tree,
+        files_of_one_path,
         diff_of_commits,
         diff_of_commit_and_tree,
         diff_of_index_and_tree,
@@ -572,6 +587,17 @@ TREE = version("tree", f"{fx.AFTER[0]} AND {fx.NOT_IGNORED}", fx.AFTER[1])
 
 ORACLES = {
     "tree_with_ignore_files": with_(TREE, body="SELECT path, oid, strlen(content) AS bytes FROM tree"),
+    "symbols_of_tree": with_(
+        TREE,
+        """
+words AS (
+  SELECT path, line, regexp_extract(line, '^(\\S+)', 1) AS word FROM (SELECT path, unnest(string_split(content, chr(10))) AS line FROM tree))""",
+        body="""SELECT path AS file_path, 'line' AS kind, word AS qualifiers, count(*) AS line_size, CAST(sum(strlen(line) + 1) AS BIGINT) AS byte_size
+FROM words WHERE word <> '' GROUP BY ALL""",
+    ),
+    "files_of_one_path": with_(
+        AFTER, body="SELECT path, oid FROM after WHERE doc_id = (SELECT min(doc_id) FROM after) OR path LIKE 'src9/%.fr'"
+    ),
     "diff_of_commits": with_(BEFORE, AFTER, diff("", "before", "after"), body="SELECT * FROM diff"),
     "diff_of_commit_and_tree": with_(BEFORE, TREE, diff("", "before", "tree"), body="SELECT * FROM diff"),
     "diff_of_index_and_tree": with_(INDEX, TREE, diff("", "idx", "tree"), body="SELECT * FROM diff"),

@@ -122,15 +122,12 @@ def page_symbol_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_filters(spark: SparkSession, sf: str) -> DataFrame:
     """Capture filters of three operators over the links of each page."""
-    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    pages = fx.table(spark, sf, "pages").withColumn("captures", F.create_map(F.lit("href"), links))
+    pages = fx.table(spark, sf, "pages")
 
     def passes(*filters: tuple[str, str]):
-        rows = [
-            F.struct(F.lit("href").alias("capture"), F.lit(o).alias("operator"), F.lit(v).alias("value"))
-            for o, v in filters
-        ]
-        return rules.passes_filters(F.col("captures"), F.array(*rows))
+        kept = tuple(rules.CaptureFilter("href", o, v) for o, v in filters)
+        rule = rules.Rule("page", "file", "", captures=(("href", 'href="([^"]*)"'),), filters=kept)
+        return regions.passes_filters(F.col("html"), rule)
 
     return pages.select(
         "page_id",
@@ -205,6 +202,28 @@ def regions_at_points_of_all_rows(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(_page(), "row", "point_id", "col", "kind", "qualifiers")
 
 
+def _nested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every fourth line of each page, the ranges of its nested regions, and their names."""
+    found = cut_lineage(_page_regions(spark, sf))
+    n_lines = F.size(F.split(F.decode("content", "ISO-8859-1"), "\n", -1)).cast("long")
+    lines = fx.page_files(spark, sf).select("oid", F.explode(F.sequence(F.lit(0).cast("long"), n_lines - 1, F.lit(4).cast("long"))).alias("line"))
+    return lines, attribution.region_rows(found, ["oid"]), found.select("oid", "kind", "full_qualifiers", "qualifiers")
+
+
+def lines_per_nested_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines count for every region around them."""
+    lines, ranges, names = _nested(spark, sf)
+    counts = attribution.count_in_all(lines, ranges, ["oid"])
+    return counts.join(names, ["oid", "kind", "full_qualifiers"]).select(_page(), "kind", "qualifiers", "novel")
+
+
+def lines_per_innermost_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines count for the smallest region around them alone, the earlier one of two equally large."""
+    lines, ranges, names = _nested(spark, sf)
+    counts = attribution.count_in_innermost(lines, ranges, ["oid"])
+    return counts.join(names, ["oid", "kind", "full_qualifiers"]).select(_page(), "kind", "qualifiers", "novel")
+
+
 def _novel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Novel lines of changed documents and the regions of both of their versions."""
     pairs = cut_lineage(fx.document_pairs(spark, sf))
@@ -315,6 +334,8 @@ QUERIES = {
         regions_at_points_of_all_rows,
         novel_lines_per_region,
         novel_lines_per_innermost,
+        lines_per_nested_region,
+        lines_per_innermost_region,
         rules_per_list,
         rule_problems,
         user_rules_on_pages,
@@ -340,6 +361,14 @@ rules AS (
   SELECT p_brand AS list, CAST(p_partkey AS INTEGER) AS rule_no, p_type AS kind, p_partkey AS k FROM part)
 """
 
+HELD_LINES = """
+page_lines AS (
+  SELECT page_id, unnest(range(0, len(string_split(html, chr(10))), 4)) AS line FROM pages),
+held AS (
+  SELECT l.page_id, l.line, r.kind, r.qualifiers, r.byte_size, r.first_seq FROM page_lines l
+  JOIN named n ON l.page_id = n.page_id AND start_row <= line AND end_row >= line
+  JOIN regions r ON r.page_id = n.page_id AND r.kind = n.kind AND r.qualifiers = n.qualifiers)"""
+
 ORACLES = {
     "page_tokens": "SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes FROM pages",
     "page_matches": with_(PAGES, body="SELECT page_id, kind, name, start_byte, end_byte, start_row, end_row FROM found"),
@@ -432,6 +461,16 @@ held AS (
         body="""SELECT page_id, CAST(row AS BIGINT) AS row, CAST(point_id AS INTEGER) AS point_id, col, kind, qualifiers FROM held
 QUALIFY row_number() OVER (PARTITION BY page_id, row, point_id ORDER BY byte_size, first_seq) = 1""",
     ),
+    "lines_per_nested_region": with_(
+        PAGES, HELD_LINES, body="SELECT page_id, kind, qualifiers, count(DISTINCT line) AS novel FROM held GROUP BY ALL"
+    ),
+    "lines_per_innermost_region": with_(
+        PAGES,
+        HELD_LINES,
+        """
+first AS (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY page_id, line ORDER BY byte_size, first_seq) = 1)""",
+        body="SELECT page_id, kind, qualifiers, count(*) AS novel FROM first GROUP BY ALL",
+    ),
     "novel_lines_per_region": with_(BEFORE, AFTER, PAIRS, body=NOVEL_WORDS),
     "novel_lines_per_innermost": with_(BEFORE, AFTER, PAIRS, body=NOVEL_WORDS),
     "rules_per_list": with_(

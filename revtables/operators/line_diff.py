@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from revtables.functions.text import byte_text, split_lines
 from revtables.operators import alignment
+from revtables.operators.interval_join import interval_join
+from revtables.session import cut_lineage
 
 # The one Python helper travels with the job, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[alignment.__name__])
@@ -163,6 +165,17 @@ def hunks(diffs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def positions_of_offsets(offsets: DataFrame, files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, offset, row, column) of byte offsets (keys, offset) in ``files``; none for an offset past the end.
+
+    Each offset looks up the line it is in by an interval join, so a long file with many
+    offsets is spread over its lines. The column counts bytes; a line end belongs to its line.
+    """
+    lines = cut_lineage(line_starts(files, keys, content).withColumn("_last", F.col("end_byte") - 1))
+    held = interval_join(offsets, lines, keys, "offset", "start_byte", "_last", 4096)
+    return held.select(*keys, "offset", "row", (F.col("offset") - F.col("start_byte")).alias("column"))
+
+
 def line_starts(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """Byte offset of every line: (keys, row, start_byte, end_byte) plus a last row at the end.
 

@@ -156,13 +156,17 @@ def located_tokens(files: DataFrame, lists: list[RuleList]) -> DataFrame:
     )
 
 
-def _filters_pass(token: Column, rule: Rule) -> Column:
+def passes_filters(token: Column, rule: Rule) -> Column:
+    """All filters of a rule hold over what its captures take from a header.
+
+    An unknown operator holds for nothing; ``verify_rules`` reports it.
+    """
     kept = F.lit(True)
     regexes = dict(rule.captures)
     for f in rule.filters:
         captures = F.regexp_extract_all(token, F.lit(regexes[f.capture]), F.lit(1))
-        check = contains_value if f.operator == "contains" else lacks_value
-        kept = kept & check(captures, F.lit(f.value))
+        check = {"contains": contains_value, "not-contains": lacks_value}.get(f.operator)
+        kept = kept & (check(captures, F.lit(f.value)) if check else F.lit(False))
     return kept
 
 
@@ -188,7 +192,7 @@ def _candidates(number: int, rule: Rule) -> Column:
         )
     else:
         found = F.array(match(F.array(*[utf8_text(F.regexp_extract(token, whole, g)) for g in rule.names])))
-    return F.when(token.rlike(whole) & _filters_pass(token, rule), found)
+    return F.when(token.rlike(whole) & passes_filters(token, rule), found)
 
 
 def rule_matches(files: DataFrame, lists: list[RuleList]) -> DataFrame:

@@ -294,22 +294,3 @@ def separator_of(list_name: Column, lists: Iterable[RuleList]) -> Column:
         is_list = list_name == rule_list.name
         chosen = F.when(is_list, rule_list.separator) if chosen is None else chosen.when(is_list, rule_list.separator)
     return F.coalesce(chosen, F.lit("")) if chosen is not None else F.lit("")
-
-
-def passes_filters(captures: Column, filters: Column) -> Column:
-    """All filters of a rule hold over its captures (map name -> texts).
-
-    An unknown operator holds for nothing; ``verify_rules`` reports it.
-    """
-    return F.forall(
-        filters,
-        lambda f: F.when(
-            f["operator"] == "contains",
-            F.exists(F.coalesce(captures[f["capture"]], F.array().cast("array<string>")), lambda t: t == f["value"]),
-        )
-        .when(
-            f["operator"] == "not-contains",
-            ~F.exists(F.coalesce(captures[f["capture"]], F.array().cast("array<string>")), lambda t: t == f["value"]),
-        )
-        .otherwise(F.lit(False)),
-    )
