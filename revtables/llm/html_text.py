@@ -232,8 +232,15 @@ def fit(pages: list[tuple[int, str]], rounds: int = ROUNDS, penalty: float = 0.3
 
 
 def training_pages(pages: DataFrame, number: int = TRAINING_PAGES) -> list[tuple[int, str]]:
-    """(seed, html) of at most ``number`` pages, those with the smallest hash; nulls are left out."""
-    few = pages.where("html IS NOT NULL").select(F.xxhash64("page_id", "html").alias("seed"), "html").orderBy("seed").limit(number)
+    """(seed, html) of at most ``number`` pages, those with the smallest hash; nulls are left out, and equal rows count as one.
+
+    Tasks first send the smallest hashes alone, then only the pages that are within them.
+    """
+    rows = pages.where("html IS NOT NULL").select(F.xxhash64("page_id", "html").alias("seed"), "html")
+    seeds = [r["seed"] for r in rows.select("seed").orderBy("seed").limit(number).collect()]
+    if not seeds:
+        return []
+    few = rows.where(F.col("seed") <= seeds[-1]).groupBy("seed").agg(F.first("html").alias("html")).orderBy("seed")
     return [(r["seed"], r["html"]) for r in few.collect()]
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 
 # Elements of the HTML standard by how they take part in a page's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,11 +51,14 @@ def parse(page: str) -> list[Node]:
     its end tag, or at the first tag or text that cannot stand in it. Inline elements
     are no nodes: their text belongs to the block around them. A block is the text between
     two bounds of other elements, character references decoded, white space made one space.
+    No tag looks through the open elements one by one, so deep pages take no longer a tag.
     Elements that are not closed end with their parent, or where a next one must end them.
     """
     nodes = [Node("#root", -1, 0)]
     stack: list[int] = [0]
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of a tag
     inline: list[str] = []
+    inside: Counter = Counter()  # how often each tag is in ``inline``
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -71,13 +76,16 @@ def parse(page: str) -> list[Node]:
 
     def add(text: str) -> None:
         if text:
-            parts.append((html.unescape(text), "a" in inline))
+            parts.append((html.unescape(text), inside["a"] > 0))
 
     def close(to: int) -> None:
         """Cut the stack down to ``to`` open elements."""
         flush()
+        for k in range(len(stack) - 1, to - 1, -1):
+            opened[nodes[stack[k]].tag].pop()
         del stack[to:]
         inline.clear()
+        inside.clear()
 
     at, in_head, began = 0, False, False
     while at < len(page):
@@ -118,28 +126,29 @@ def parse(page: str) -> list[Node]:
         if tag in INLINE:
             if not end:
                 inline.append(tag)
-            elif tag in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(tag)]
+                inside[tag] += 1
+            elif inside[tag]:
+                k = len(inline) - 1
+                while inline[k] != tag:
+                    k -= 1
+                del inline[k]
+                inside[tag] -= 1
             continue
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
+            if opened[tag]:
+                close(opened[tag][-1])
             else:
                 flush()
             continue
         ended, bounds = ENDS.get(tag, ({"p"}, {"button", "td", "th", "table", "li", "div", "section", "article"}))
-        upto = None
-        for k in range(len(stack) - 1, 0, -1):
-            name = nodes[stack[k]].tag
-            if tag in EMBEDDED or name in EMBEDDED:
-                break
-            if name in ended or name == "p":
-                upto = k
-            elif name in bounds:
-                break
-        close(upto if upto is not None else len(stack))
+        upto = len(stack)
+        if tag not in EMBEDDED:
+            ended = ended | {"p"}
+            bound = max((opened[name][-1] for name in (bounds | EMBEDDED) - ended if opened[name]), default=0)
+            for name in ended:
+                k = bisect_right(opened[name], bound)
+                upto = min(upto, opened[name][k]) if k < len(opened[name]) else upto
+        close(upto)
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
         names = " ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label"))
         label = found.get("data-y")
@@ -147,6 +156,7 @@ def parse(page: str) -> list[Node]:
         nodes[stack[-1]].children += 1
         nodes.append(node)
         if not rest.endswith("/"):
+            opened[tag].append(len(stack))
             stack.append(len(nodes) - 1)
     flush()
     return nodes

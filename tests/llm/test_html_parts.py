@@ -48,3 +48,27 @@ def test_an_open_element_does_not_hide_the_rest(tag):
 @pytest.mark.parametrize("tag", ["script", "style"])
 def test_an_open_script_hides_the_rest(tag):
     assert texts(f"<p>one</p><{tag}>x<div>rest</div>") == ["one"]
+
+
+def test_deep_pages_take_no_longer_a_tag():
+    deep = parse("<ul>" * 60_000 + "x" + "</p>" * 60_000)
+    assert len(deep) == 60_002 and deep[-1].text == "x" and deep[-1].depth == 60_001
+    items = parse("<ul>" + "<li><b>a" * 30_000 + "</ul>" + "<div>" * 30_000 + "</ul>" * 30_000 + "y")
+    assert sum(n.tag == "li" for n in items) == 30_000 and all(n.depth == 2 for n in items if n.tag == "li")
+
+
+def test_what_an_opening_tag_ends():
+    tags = lambda page: [(n.tag, n.depth) for n in parse(page)[1:] if n.tag != "#text"]
+    assert tags("<ul><li><p>a<li>b") == [("ul", 1), ("li", 2), ("p", 3), ("li", 2)]
+    assert tags("<ul><li><ul><li>a</ul><li>b") == [("ul", 1), ("li", 2), ("ul", 3), ("li", 4), ("li", 2)]
+    assert tags("<table><tr><td><p>a<td>b<tr>") == [("table", 1), ("tr", 2), ("td", 3), ("p", 4), ("td", 3), ("tr", 2)]
+    assert tags("<p>a<svg><p>b") == [("p", 1), ("svg", 2), ("p", 3)]
+
+
+def test_training_pages_with_repeated_rows(spark):
+    rows = [(k, f"<p>page {k}") for k in range(30)] + [(7, "<p>page 7")] * 200 + [(40, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(5)
+    few = html_text.training_pages(pages, 10)
+    assert len(few) <= 10 and len({s for s, _ in few}) == len(few) and [s for s, _ in few] == sorted(s for s, _ in few)
+    assert len(html_text.training_pages(pages.dropDuplicates(), 10)) == 10
+    assert html_text.training_pages(pages.limit(0)) == []
