@@ -2,6 +2,7 @@
 
 import pytest
 
+from revtables.llm import html_text
 from revtables.llm.html_tree import parse
 
 
