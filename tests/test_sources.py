@@ -5,10 +5,9 @@ from pyspark.sql.types import LongType
 
 from checks import fixtures as fx
 from revtables.functions import ids, paths, text
-from revtables.sources import objects
+from revtables.sources import objects, versions
 from revtables.sources.files import read_files
 from revtables.sources.store import open_changes
-from revtables.streaming import history_stream
 from revtables.streaming.history_stream import revision_stream
 
 
@@ -78,7 +77,7 @@ def test_objects_by_prefix(spark):
 
 def test_stream_in_many_batches_and_again(spark, tmp_path, monkeypatch):
     """One file per revision step, then a late restart with nothing new."""
-    monkeypatch.setattr(history_stream, "COMPACT_EVERY", 2)
+    monkeypatch.setattr(versions, "PARTS_OF_A_SIZE", 2)
     log = [(1, 10, "a.en", 1, "x one\ny"), (2, 20, "a.en", 2, "x two\ny"), (3, 30, "b.en", 1, "z"), (4, 40, "a.en", 3, None), (5, 50, "b.en", 2, "z!")]
     texts = {t for *_, t in log if t is not None}
     blobs = (
@@ -109,7 +108,8 @@ def test_stream_in_many_batches_and_again(spark, tmp_path, monkeypatch):
     land(log[4:], "4")
     run()
     run()
-    assert {p.name for p in (tmp_path / "state" / "all").iterdir()} == {"batch=2"}
+    logged = versions.newest(spark, str(tmp_path / "state"))
+    assert len(logged.parts) == 1 and logged.notes == {"batch": 3}
     rows = open_changes(spark, str(tmp_path / "changes"), LongType())
     got = {(r.commit_id, r.kind, r.qualifiers, r.file_path): (r.novel_lhs, r.novel_rhs, r.size_after) for r in rows.collect()}
     assert got == {
