@@ -113,6 +113,11 @@ def companions_of_symbol(spark: SparkSession, sf: str) -> DataFrame:
     return inspection.companions(fx.changes_star(spark, sf), fx.star_symbol(spark, sf))
 
 
+def companion_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a report for one symbol."""
+    return inspection.companion_text(companions_of_symbol(spark, sf))
+
+
 def companions_of_every_symbol(spark: SparkSession, sf: str) -> DataFrame:
     return inspection.companions_of_all(fx.changes_star(spark, sf))
 
@@ -261,6 +266,7 @@ QUERIES = {
         inspect_report,
         co_changes_of_symbol,
         companions_of_symbol,
+        companion_report,
         companions_of_every_symbol,
         share_percentages,
         symbol_log,
@@ -372,10 +378,15 @@ UNION ALL
         STAR,
         POSITIONS,
         SHARES,
-        body=f"""SELECT {S}, printf('%s %s in %s has changes in %d commit(s), %.2f%% of total commits, %.2f%% of commits since introduction',
+        body=f"""SELECT {S}, printf('%s %s (%s): %d commits, %.2f%% of all, %.2f%% since its first one',
 kind, qualifiers, file_path, commits, CAST(CAST(share AS FLOAT) * CAST(100 AS FLOAT) AS DOUBLE), CAST(CAST(share_since_introduction AS FLOAT) * CAST(100 AS FLOAT) AS DOUBLE)) AS line FROM shares""",
     ),
     "co_changes_of_symbol": with_(STAR, TOGETHER, ONE, body=f"SELECT * FROM together SEMI JOIN one USING ({S})"),
+    "companion_report": with_(
+        STAR, TOGETHER, ONE,
+        body=f"""SELECT {S}, rank, printf('%.2f%% of its commits: %s %s (%s)', CAST(CAST(ratio AS FLOAT) * CAST(100 AS FLOAT) AS DOUBLE),
+other_kind, other_qualifiers, other_file_path) AS line FROM ranked SEMI JOIN one USING ({S}) WHERE rank <= 10""",
+    ),
     "companions_of_symbol": with_(
         STAR, TOGETHER, ONE, body=f"SELECT * FROM ranked SEMI JOIN one USING ({S}) WHERE rank <= 10"
     ),

@@ -64,7 +64,7 @@ def companions_of_all(changes: DataFrame) -> DataFrame:
 def inspect_text(shares: DataFrame) -> DataFrame:
     """One sentence per symbol."""
     line = F.format_string(
-        "%s %s in %s has changes in %d commit(s), %s of total commits, %s of commits since introduction",
+        "%s %s (%s): %d commits, %s of all, %s since its first one",
         "kind",
         "qualifiers",
         "file_path",
@@ -76,7 +76,6 @@ def inspect_text(shares: DataFrame) -> DataFrame:
 
 
 def companion_text(top: DataFrame) -> DataFrame:
-    line = F.format_string(
-        "- %s %s %s, %s", "other_kind", "other_qualifiers", "other_file_path", percent(F.col("ratio"))
-    )
+    """One line per companion, with the share of the symbol's commits that it is in."""
+    line = F.format_string("%s of its commits: %s %s (%s)", percent(F.col("ratio")), "other_kind", "other_qualifiers", "other_file_path")
     return top.select(*SYMBOL, "rank", line.alias("line"))
