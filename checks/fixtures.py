@@ -16,6 +16,8 @@ from revtables.session import checkpoint_dir, cut_lineage
 
 # Languages of the documents; a document's path ends in its language.
 LANGUAGES = ("en", "fr", "de", "es")
+#: Order lines of a task of the change table; its symbols, files and sorts are held together.
+TASK_ROWS = 250_000
 PROSE = RuleList(
     name="prose",
     separator="::",
@@ -78,9 +80,12 @@ def changes_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("file_path"),
         F.col("p_size").cast("long").alias("p_size"),
     )
+    # As many tasks as the rows need: the planner's own number follows the bytes of the shuffle, which are far fewer
+    # than what sorts and groups of names take. The parts come first, so that all groups of an order stay in its task.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lineitem.count() // TASK_ROWS))
+    named = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).repartition(tasks, "l_orderkey")
     base = (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        named.join(orders.repartition(tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("l_orderkey").alias("commit_id"), "seconds_since_epoch", "kind", "qualifiers", "file_path")
         .agg(
             F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("novel_lhs"),
