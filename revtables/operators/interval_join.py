@@ -30,6 +30,9 @@ def interval_join(
     its bin of every level that has intervals. So a giant file is spread over its bins, a
     point meets only intervals that begin near it on their own scale, and a pair shares
     exactly one bin. ``intervals`` are looked at twice, first for their levels.
+
+    Both sides are shuffled: written matches take few bytes on disk, so the planner would
+    take millions of rows for a small table and send them through the driver.
     """
     length = (F.col(end) - F.col(start) + 1).cast("double")
     # a level more or less through rounding is no fault, as the bins follow from it
@@ -40,7 +43,7 @@ def interval_join(
     binned_points = binned_points.withColumn("_bin", _bin(F.col(point), F.col("_level"), width))
     bins = F.sequence(_bin(F.col(start), F.col("_level"), width), _bin(F.col(end), F.col("_level"), width))
     return (
-        binned_points.join(leveled.withColumn("_bin", F.explode(bins)), [*on, "_level", "_bin"])
+        binned_points.hint("merge").join(leveled.withColumn("_bin", F.explode(bins)), [*on, "_level", "_bin"])
         .where(F.col(point).between(F.col(start), F.col(end)))
         .drop("_level", "_bin")
     )
