@@ -38,8 +38,11 @@ FREQUENT_SHARE = 1 / 50_000
 SHARED = 8
 #: Sets of a list that meet in one task at a time.
 BLOCK = 500
-#: Of those, longer signatures of one byte a coordinate are compared, a short part first.
+#: Of those, longer signatures of four bits a coordinate are compared, a short part first.
 LONG, QUICK = 512, 128
+#: Values of a coordinate there; different minima have the same one with a probability of one in so many.
+VALUES = 16
+_BITS = np.arange(0, 8, 4, dtype=np.uint8)
 
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
@@ -81,12 +84,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def long_signature(shingles: np.ndarray) -> np.ndarray:
-    """One byte of each of ``LONG`` other minima."""
+    """Four bits of each of ``LONG`` other minima, two minima a byte."""
     best = np.full(LONG, 0xFFFFFFFF, np.uint32)
     low = shingles.astype(np.uint32)
     for i in range(0, len(low), 2048):
         best = np.minimum(best, (low[i : i + 2048, None] * _LONG_FACTORS + _LONG_SHIFTS).min(axis=0))
-    return (best >> np.uint32(4)).astype(np.uint8)
+    values = (best >> np.uint32(4)).astype(np.uint8) % VALUES
+    return np.bitwise_or.reduce(values.reshape(-1, len(_BITS)) << _BITS, axis=1)
+
+
+def long_values(signatures: list[bytes]) -> np.ndarray:
+    """The values of the coordinates, a row for each long signature."""
+    packed = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), LONG // len(_BITS), 1)
+    return (packed >> _BITS & np.uint8(VALUES - 1)).reshape(len(signatures), LONG)
+
+
+def alike(similarity: float) -> float:
+    """The share of equal values to expect in long signatures of sets of this similarity."""
+    return similarity + (1 - similarity) / VALUES
 
 
 def _sets_of(text: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -186,7 +201,7 @@ def _meet_in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
         .withColumn("high", F.greatest("own", "other"))
         .drop("blocks", "n", "rank", "other")
     )
-    quick, least = agreeing(similarity, QUICK), agreeing(similarity, LONG)
+    quick, least = agreeing(alike(similarity), QUICK), agreeing(alike(similarity), LONG)
 
     def pairs(ids, own, part, sizes, lists, long, key, low, high):
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
@@ -203,7 +218,7 @@ def _meet_in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for rows in runs(batches, ["key", "low", "high"]):
-            long = np.frombuffer(b"".join(rows["long"].to_pylist()), np.uint8).reshape(-1, LONG)
+            long = long_values(rows["long"].to_pylist())
             parts = rows["component"].to_pylist()
             number = {x: i for i, x in enumerate(set(parts))}
             found = list(
