@@ -14,11 +14,12 @@ from revtables.llm.decontamination import is_contaminated, search_items
 from revtables.llm.near_duplicates import near_duplicates
 from revtables.llm.queries import held_out, table
 from revtables.llm.texts import pack
-from revtables.session import cut_lineage
+from revtables.session import bounded_batches, cut_lineage
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it is fitted on labelled rows of this input."""
+    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     model = toxicity.fit(toxicity.training_rows(docs, labels))
     scored = toxicity.with_score(pack(docs, "text"), model)
@@ -27,6 +28,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id; repeated rows count as copies."""
+    bounded_batches(spark)
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("of_text"))
     kept = near_duplicates(docs.select(key.alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key"))
     rows = docs.withColumn("_key", key)
@@ -35,6 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stand in benchmark phrases."""
+    bounded_batches(spark)
     found = search_items(pack(docs, "text"), table(spark, sf_dir, "benchmark"))
     return found.where(~is_contaminated()).select("row.*")
 
