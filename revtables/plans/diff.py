@@ -61,16 +61,17 @@ def diff_files(
     )
     result = whole_files.unionByName(modified_files)
     if lists:
-        regions = cut_lineage(texts.regions())
+        regions, pairs = texts.regions(), cut_lineage(texts.modified_pairs())
         whole_symbols = one_sided.join(regions, ["oid", "list"]).select(
             *carry, "change", "kind", "qualifiers", F.col("path").alias("file_path"), *one_side("line_size")
         )
-        matched = match_for_diff(
-            texts.attributed(regions, diffs, all_regions=include_children), LISTED_PAIR, compat_key
-        )
+        novel = texts.novel_counts(pairs, regions, diffs, all_regions=include_children)
+        attributed = texts.sided(pairs, regions).join(novel, ["pair", "side", "first_seq"], "left")
+        matched = match_for_diff(attributed, ["pair"], compat_key)
         modified_symbols = (
             modified.drop("change")
-            .join(matched, LISTED_PAIR)
+            .join(pairs, LISTED_PAIR)
+            .join(matched, "pair")
             .select(*carry, "change", "kind", "qualifiers", F.col("path").alias("file_path"), "novel_lhs", "novel_rhs")
         )
         result = result.unionByName(whole_symbols).unionByName(modified_symbols)

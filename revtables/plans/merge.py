@@ -32,7 +32,7 @@ def selected_edits(
     if file_path is not None:
         changes = changes.where(F.col("path") == file_path)
     routed = cut_lineage(changes.withColumn("list", rule_list_of(F.col("path"), lists)).where("list is not null"))
-    regions = cut_lineage(ChangedTexts(routed, changed_contents(routed, blobs), lists).regions(checksums=True))
+    regions = ChangedTexts(routed, changed_contents(routed, blobs), lists).regions(checksums=True)
     wanted = regions
     if kind is not None:
         wanted = wanted.where(F.col("kind") == kind)
