@@ -4,14 +4,16 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from checks import fixtures as fx
 from revtables.functions.ids import blob_id
 from revtables.functions.text import byte_text, line_keys
 from revtables.operators.regions import tokens
 from revtables.plans import texts
-from revtables.plans.history import build_changes
+from revtables.plans.history import build_changes, update_changes
 from revtables.session import checkpoint_dir, cut_lineage, in_parts, passing_cuts
+from revtables.sources.store import open_changes
 
 SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -90,3 +92,14 @@ def test_a_text_is_split_behind_the_shuffle_only(spark, capsys):
     split.explain()
     below = capsys.readouterr().out.rpartition("Exchange")[2]
     assert "split(" not in below
+
+
+def test_an_update_leaves_its_table_only(spark, repo, tmp_path):
+    log, trees, blobs = repo
+    cut_lineage(spark.range(1))
+    before = set(folder(spark).iterdir())
+    for head in (2, 3):
+        update_changes(str(tmp_path / "changes"), log, trees, blobs, [fx.PROSE], F.lit(head))
+    assert set(folder(spark).iterdir()) == before
+    stored = open_changes(spark, str(tmp_path / "changes"), LongType())
+    assert sorted(stored.collect()) == sorted(build_changes(log, trees, blobs, [fx.PROSE], F.lit(3)).collect())
