@@ -1,3 +1,4 @@
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +6,7 @@ from pyspark.sql.types import LongType
 
 from checks import fixtures as fx
 from revtables.functions import ids, paths, text
+from revtables.sources import files as files_source
 from revtables.sources import objects, versions
 from revtables.sources.files import read_files
 from revtables.sources.store import open_changes
@@ -127,3 +129,27 @@ def test_stream_in_many_batches_and_again(spark, tmp_path, monkeypatch):
         (5, "line", "z!", "b.en"): (0, 1, 1),
         (5, "file", "", "b.en"): (1, 1, 0),
     }
+
+
+def test_ids_without_contents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files_source, "PIECE_BYTES", 3)
+    for name, data in {"a.rs": b"abc", "b c+%41.rs": b"abcd", "sub/_x/.hidden": b"\xff\x00\n" * 5, ".git/config": b"x", "out.log": b"y"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    root = str(tmp_path)
+    ids = read_files(spark, root, ["*.log"], contents=False)
+    assert ids.columns == ["path", "mode", "oid", "mtime"]
+    want = read_files(spark, root, ["*.log"]).select(*ids.columns).collect()
+    assert sorted(ids.collect()) == sorted(want) and len(want) == 3
+    assert [r.oid for r in read_files(spark, f"{root}/a.rs", contents=False).collect()] == [r.oid for r in want if r.path == "a.rs"]
+    assert read_files(spark, root, name_glob="*.none", contents=False).count() == 0
+
+
+def test_the_id_of_a_file_that_no_row_can_hold(spark, tmp_path):
+    size = 1 << 31
+    with open(tmp_path / "large.bin", "wb") as file:
+        file.truncate(size)
+    digest = hashlib.sha1(f"blob {size}\0".encode())
+    for _ in range(size >> 24):
+        digest.update(bytes(1 << 24))
+    assert [(r.path, r.oid) for r in read_files(spark, str(tmp_path), contents=False).collect()] == [("large.bin", digest.hexdigest())]
