@@ -103,3 +103,14 @@ def test_an_update_leaves_its_table_only(spark, repo, tmp_path):
     assert set(folder(spark).iterdir()) == before
     stored = open_changes(spark, str(tmp_path / "changes"), LongType())
     assert sorted(stored.collect()) == sorted(build_changes(log, trees, blobs, [fx.PROSE], F.lit(3)).collect())
+
+
+def test_changed_rules_leave_the_table_only(spark, repo, tmp_path):
+    log, trees, blobs = repo
+    cut_lineage(spark.range(1))
+    before = set(folder(spark).iterdir())
+    for head, lists in ((2, [fx.PROSE_NORTH, fx.OTHER_SOUTH]), (3, [fx.PROSE])):
+        update_changes(str(tmp_path / "changes"), log, trees, blobs, lists, F.lit(head))
+    assert set(folder(spark).iterdir()) == before
+    stored = open_changes(spark, str(tmp_path / "changes"), LongType())
+    assert sorted(stored.collect()) == sorted(build_changes(log, trees, blobs, [fx.PROSE], F.lit(3)).collect())
